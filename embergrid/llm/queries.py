@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+from .decontaminate import op10_decontaminate
+from .html_extract import op8_html_extract
+from .jaccard_join import op9_jaccard_join
 from .language_id import op3_language_id
+from .packing import op7_packing
+from .pii import op5_pii
 from .quality import OP2_SQL, op2_quality
+from .token_files import op6_token_files
 from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality": op2_quality,
     "op3_language_id": op3_language_id,
+    "op5_pii": op5_pii,
+    "op6_token_files": op6_token_files,
+    "op7_packing": op7_packing,
+    "op8_html_extract": op8_html_extract,
+    "op9_jaccard_join": op9_jaccard_join,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op2_quality": OP2_SQL}
