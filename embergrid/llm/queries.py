@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op10_decontaminate
+from .hmm_lm import op4_hmm_lm
 from .html_extract import op8_html_extract
 from .jaccard_join import op9_jaccard_join
 from .language_id import op3_language_id
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality": op2_quality,
     "op3_language_id": op3_language_id,
+    "op4_hmm_lm": op4_hmm_lm,
     "op5_pii": op5_pii,
     "op6_token_files": op6_token_files,
     "op7_packing": op7_packing,
