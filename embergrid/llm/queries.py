@@ -5,7 +5,7 @@ from __future__ import annotations
 from .decontaminate import op10_decontaminate
 from .hmm_lm import op4_hmm_lm
 from .html_extract import op8_html_extract
-from .jaccard_join import op9_jaccard_join
+from .jaccard_join import OP9_SQL, op9_jaccard_join
 from .language_id import op3_language_id
 from .packing import op7_packing
 from .pii import op5_pii
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op2_quality": OP2_SQL}
+ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op2_quality": OP2_SQL, "op9_jaccard_join": OP9_SQL}
