@@ -25,6 +25,31 @@ def solution_accounts(demands: DataFrame, hops: DataFrame, node_resources: int =
     return out.withColumn("r2c", F.when(F.col("cost") == 0, 0.0).otherwise(F.col("revenue") / F.col("cost")))
 
 
+def full_accounts(accounts: DataFrame, solutions: DataFrame, compat: bool = False) -> DataFrame:
+    """Accounts beside (v_net_id, result, lifetime): times with the lifetime, nothing earned on failure.
+
+    ``compat`` keeps the demand total that counts the node demand twice and leaves the links out.
+    """
+    ok = F.col("result")
+    out = accounts.join(solutions, "v_net_id")
+    total = F.col("node_demand") * 2 if compat else F.col("node_demand") + F.col("link_demand")
+    out = out.withColumn("v_net_demand", total)
+    out = out.withColumns({c: F.when(ok, F.col(c)).otherwise(0.0) for c in ("revenue", "cost", "r2c", "path_cost")})
+    return out.withColumns({f"time_{c}": F.col(c) * F.col("lifetime") for c in ("revenue", "cost")})
+
+
+def partial_accounts(placed: DataFrame, routed: DataFrame, node_resources: int = 1) -> DataFrame:
+    """Accounts of what is placed (v_net_id, amount) and routed (v_net_id, amount, hops) so far.
+
+    Revenue takes the raw node sum, the node cost the sum by resource.
+    """
+    n = placed.groupBy("v_net_id").agg(F.sum("amount").alias("node_revenue"))
+    e = routed.groupBy("v_net_id").agg(F.sum("amount").alias("link_revenue"), F.sum(F.col("amount") * F.col("hops")).alias("link_cost"))
+    out = n.join(e, "v_net_id", "full").na.fill(0, ["node_revenue", "link_revenue", "link_cost"])
+    out = out.withColumns({"revenue": F.col("node_revenue") + F.col("link_revenue"), "cost": F.col("node_revenue") / node_resources + F.col("link_cost")})
+    return out.withColumn("r2c", F.when(F.col("cost") == 0, 0.0).otherwise(F.col("revenue") / F.col("cost")))
+
+
 def running_state(records: DataFrame, run: str = "run_id") -> DataFrame:
     """Totals after every event of each run: counts, in service, revenue, cost."""
     w = Window.partitionBy(run).orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
