@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import saved
+
 
 def closure(links: DataFrame) -> DataFrame:
     """Both directions of every undirected link; a self-loop once."""
@@ -81,7 +83,8 @@ def with_position(df: DataFrame, order: Sequence[Column], name: str, first: int
     The bases are prefix sums over one row for each partition, so no task holds all rows.
     """
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    tagged = ordered.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
+    # written once: range bounds are sampled anew each time the plan runs
+    tagged = saved(ordered.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()))
     counts = tagged.groupBy("__p").agg(F.count("*").alias("__n"), F.min("__m").alias("__m0"))
     bases = counts.withColumn("__base", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     out = tagged.join(F.broadcast(bases.select("__p", "__m0", "__base")), "__p")

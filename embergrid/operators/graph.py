@@ -5,20 +5,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .attributes import closure
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder (a temporary one where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="embergrid-"))
-    return df.checkpoint()
+from .storage import saved
 
 
 def arcs_of(links: DataFrame, directed: bool = False, weight: str | None = None) -> DataFrame:

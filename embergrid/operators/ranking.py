@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .aggregates import degree, link_aggregate
 from .attributes import closure
+from .storage import saved
 
 
 def _total(names: Sequence[str]) -> Column:
@@ -59,8 +60,9 @@ def rank_grc(nodes: DataFrame, links: DataFrame, resources: Sequence[str], bandw
     for k in range(rounds):
         flow = arcs.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("r") * F.col("m")).alias("f"))
         new = share.join(flow, "id", "left").select("id", ((1 - damping) * F.col("c") + damping * F.coalesce("f", F.lit(0.0))).alias("n"))
-        both = new.join(rank, "id").select("id", "n", "r").checkpoint() if k % 5 == 4 else new.join(rank, "id").select("id", "n", "r")
+        both = new.join(rank, "id").select("id", "n", "r")
         if k % 5 == 4:
+            both = saved(both)
             done = (both.agg(F.sqrt(F.sum((F.col("n") - F.col("r")) ** 2))).first()[0] or 0.0) < tolerance
         rank = both.select("id", F.col("n").alias("r"))
         if done:
