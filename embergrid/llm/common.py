@@ -42,3 +42,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n``; null ids fall in fold null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Bound the Arrow batches that Python workers get; whole texts make default batches large.
+
+    A lower number of rows that the session sets stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, small_batches
 
 BUDGET = 0.08
 MIN_CHARS = 20
@@ -141,6 +141,7 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int)
 def matches(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", budget: float = BUDGET, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row (keys, item_id, distance, end) for each document and item it holds."""
     spark, out = docs.sparkSession, None
+    small_batches(spark)
     for block in item_blocks(benchmark, item_id, item_text, block_chars):
         shared = spark.sparkContext.broadcast(Matcher(block, budget, min_chars))
         judge = _udf(shared)

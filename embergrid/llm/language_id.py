@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fold
+from .common import documents, fold, small_batches
 from .wordhash import TABLE, blocks, buffers, mix
 
 UNDETERMINED = "und"
@@ -88,9 +88,9 @@ class LanguageModel:
         data, offsets = buffers(column)
         n, k = len(offsets) - 1, len(self.languages)
         total, count = np.zeros((n, k)), np.zeros(n)
-        for at, to in blocks(offsets, 1 << 19):
+        for at, to in blocks(offsets, 1 << 17):
             if to - at == 1:  # a long text goes in pieces cut at word boundaries
-                pieces = _pieces(data[offsets[at] : offsets[to]], 1 << 19)
+                pieces = _pieces(data[offsets[at] : offsets[to]], 1 << 17)
             else:
                 pieces = [(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])]
             for own, bounds in pieces:
@@ -118,6 +118,7 @@ def _pieces(data: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def training_spans(df: DataFrame, max_docs_per_lang: int, spans: int) -> pd.DataFrame:
     """Spans of the sampled documents: (lang, span, part). Sampling is by a hash of the id."""
+    small_batches(df.sparkSession)
     labelled = df.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(256).collect()}
     if not counts:
@@ -150,7 +151,11 @@ def train(df: DataFrame, max_docs_per_lang: int = 1000, spans: int = 4, n_bucket
         return LanguageModel([], np.zeros((n_buckets, 0)), 1.0, 1.0)
     label = sample["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()
     data, offsets = buffers(pa.array(sample["span"].tolist(), type=pa.string()))
-    buckets, owner = gram_buckets(data, offsets, n_buckets)
+    parts = []
+    for at, to in blocks(offsets, 1 << 17):
+        b, o = gram_buckets(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], n_buckets)
+        parts.append((b.astype(np.int32), (o + at).astype(np.int32)))
+    buckets, owner = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(owner, kind="stable")
     buckets, bounds = buckets[order], np.searchsorted(owner[order], np.arange(len(sample) + 1))
     rng = np.random.RandomState(seed)
@@ -196,6 +201,7 @@ def train(df: DataFrame, max_docs_per_lang: int = 1000, spans: int = 4, n_bucket
 
 def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """``df`` with lang_pred, score and rejected; columns of those names are replaced."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in df.columns if c not in ("lang_pred", "score", "rejected")]
 
