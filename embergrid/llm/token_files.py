@@ -17,10 +17,12 @@ in order of their texts; null doc ids come first. Strings of special tokens are
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +32,10 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, new_path
+from .common import documents, new_path, small_batches
 
 END_ID = 2
-MAX_CHUNKS = 600_000
+MAX_CHUNKS = 1_000_000
 MAGIC = b"EMBRTOK1"
 PART_DOCS = 8192
 _encoders: dict[str, "ChunkEncoder"] = {}
@@ -55,27 +57,30 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
+        return [array(self.code, x.ids).tobytes() for x in found]
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         if "  " in text or text[0] == " " or text[-1] == " ":
             return self._ids([text])[0]
-        first, *rest = text.split(" ")
-        chunks = [first, *map(" ".__add__, rest)]
-        known = self.known
-        missing = list({c for c in chunks if c not in known})
+        first, _, rest = text.partition(" ")
+        head = self._ids([first])[0]
+        if not rest:
+            return head
+        chunks, known = rest.split(" "), self.known  # the ids of " " + chunk by chunk
+        missing = list(set(chunks).difference(known))
         if missing:
-            if len(known) + len(missing) > MAX_CHUNKS:
-                known.clear()
-                missing = list(set(chunks))
-            known.update(zip(missing, self._ids(missing)))
-        return b"".join(map(known.__getitem__, chunks))
+            if len(known) + len(missing) > MAX_CHUNKS:  # the first to be met are the most frequent
+                known = self.known = dict(itertools.islice(known.items(), MAX_CHUNKS // 2))
+                missing = list(set(chunks).difference(known))
+            known.update(zip(missing, self._ids([" " + c for c in missing])))
+        return head + b"".join(map(known.__getitem__, chunks))
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -99,6 +104,7 @@ def _put(fs: pafs.FileSystem, path: str, chunks) -> None:
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, part_docs: int = PART_DOCS) -> list[dict]:
     """Encode (doc_id, text) into ``folder``; gives the manifest, a small row for each part."""
+    small_batches(docs.sparkSession)
     tokenizer = tokenizer or default_tokenizer()
     fs, root = _filesystem(folder)
     fs.create_dir(root, recursive=True)
