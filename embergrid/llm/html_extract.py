@@ -2,10 +2,10 @@
 
 A page is cut into text nodes with root-to-leaf tag paths. Per path the text length and the
 punctuation are summed over its nodes; both ratios are smoothed over the nodes in page order,
-fused by their product and held against a threshold. Paths over it are content; the content
-root is the container (article and the like, else the container with most of their text) and all
-text of the root that is not in a menu, header, footer, sidebar, notice, advert, form, script,
-style or comment section is the main text.
+fused by their product and held against a threshold. Nodes over it are content and choose what is
+read: the outermost articles and mains with content if they hold most of it, else the lowest element
+that holds all of it, and content outside of those, too. All text in there that is not in a menu,
+header, footer, sidebar, notice, advert, form, script, style or comment section is the main text.
 
 Defined results: null, empty and text-free html give an empty text; unclosed and misnested tags
 close as in browsers where that is needed here; html cut off inside a tag drops that tag only.
@@ -17,6 +17,7 @@ from __future__ import annotations
 import html as htmllib
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -124,48 +125,40 @@ def tag_path_scores(nodes: list[tuple[Node, str, int]]) -> tuple[np.ndarray, flo
     return fused, float(fused.std() * 0.5)
 
 
+def _up(node: Node | None) -> Iterator[Node]:
+    while node:
+        yield node
+        node = node.parent
+
+
 def main_text(page: str | None) -> str:
     nodes = [x for x in text_nodes(page or "") if not x[0].dropped and x[1]]
     full = [x for x in nodes if x[1].strip()]
     if not full:
         return ""
     fused, threshold = tag_path_scores(full)
-    weight: dict[int, float] = defaultdict(float)
-    by_id: dict[int, Node] = {}
-    for (node, text, _), score in zip(full, fused):
-        if score < threshold and len(full) > 1:
-            continue
-        up, home = node, None
-        while up:
-            by_id[id(up)] = up
-            if up.root:
-                home = up
-            up = up.parent
-        if home is None:
-            home = node
-            while home.parent and home.tag not in ("div", "section", "body", "td", "#"):
-                home = home.parent
-            by_id[id(home)] = home
-        weight[id(home)] += len(text) * (1000 if home.root else 1)
-    if not weight:
-        return ""
-    total = sum(weight.values())
-    homes = {k for k, w in weight.items() if by_id[k].root} or {k for k, w in weight.items() if w >= 0.1 * total}
+    over = [x for x, score in zip(full, fused) if score >= threshold or len(full) == 1]
+    content = [(x[0], len(x[1])) for x in over]
+    homes: set[int] = set()
+    in_roots = total = 0
+    for node, size in content:
+        roots = [x for x in _up(node) if x.root]
+        homes |= {id(x) for x in roots[-1:]}
+        in_roots += size if roots else 0
+        total += size
+    if 2 * in_roots <= total:  # the lowest element that holds all content
+        shared = [*_up(content[0][0])][::-1]
+        for node in {id(n): n for n, _ in content}.values():
+            own = [*_up(node)][::-1]
+            shared = [a for a, b in zip(shared, own) if a is b]
+        homes = {id(shared[-1])}
+    homes |= {id(node) for node, _ in content}
     inside: dict[int, bool] = {}
 
     def within(node: Node) -> bool:
-        chain, found = [], False
-        up = node
-        while up:
-            known = inside.get(id(up))
-            if known is not None or id(up) in homes:
-                found = known if known is not None else True
-                break
-            chain.append(id(up))
-            up = up.parent
-        for k in chain:
-            inside[k] = found
-        return found
+        if id(node) not in inside:
+            inside[id(node)] = any(id(x) in homes for x in _up(node))
+        return inside[id(node)]
 
     runs: list[tuple[int, list[str]]] = []
     for node, text, block in nodes:
