@@ -4,8 +4,12 @@ A page is cut into text nodes with root-to-leaf tag paths. Per path the text len
 punctuation are summed over its nodes; both ratios are smoothed over the nodes in page order,
 fused by their product and held against a threshold. Nodes over it are content and choose what is
 read: the outermost articles and mains with content if they hold most of it, else the lowest element
-that holds all of it, and content outside of those, too. All text in there that is not in a menu,
-header, footer, sidebar, notice, advert, form, script, style or comment section is the main text.
+that holds all of it, and content outside of those, too. Text of low ratio in there, such as headings
+and captions, is kept unless it is in a menu, header, footer, sidebar, notice, advert, form, script,
+style or comment section. Forms and elements told by class, id or role are such a section only
+as far as the ratios allow: one with more content than there is outside of all of them is a wrapper
+and is read if it holds the first article or main, on pages without these the first h1, and without
+that if there is no other content at all.
 
 Defined results: null, empty and text-free html give an empty text; unclosed and misnested tags
 close as in browsers where that is needed here; html cut off inside a tag drops that tag only.
@@ -30,6 +34,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 # Block elements of HTML, each of which ends a run of text.
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 DROPPED = frozenset("nav header footer aside form script style noscript template head title button select option textarea iframe svg math object dialog menu label input fieldset".split())
+WRAPPERS = frozenset(("form", "fieldset"))
 ENDS_P = BLOCK - {"br", "body", "html", "head", "td", "th", "tr", "li", "dd", "dt", "option", "title"}
 NAMES = re.compile(
     r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|advertising|banner|promo|promotion|sponsor(?:ed)?|side-?bar|aside|menu|nav|navbar|navigation|breadcrumbs?|foot|footer|masthead|site-?header|page-?header|top-?bar|comments?|comment-?list|replies|reply|disqus|respond|notice|notices|cookies?|consent|gdpr|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend(?:ed|ations)?|widget|pagination|pager|toolbar|legal|copyright|disclaimer|skip)(?:$|[^a-z])"
@@ -42,25 +47,25 @@ PUNCTUATION = re.compile(r"[.,;:!?。，、]")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "dropped", "root")
+    __slots__ = ("tag", "parent", "path", "dropped", "root", "marked")
 
-    def __init__(self, tag: str, parent: "Node | None", dropped: bool, root: bool):
-        self.tag, self.parent, self.dropped, self.root = tag, parent, dropped, root
+    def __init__(self, tag: str, parent: "Node | None", dropped: bool, root: bool, marked: bool = False):
+        self.tag, self.parent, self.dropped, self.root, self.marked = tag, parent, dropped, root, marked
         self.path = (parent.path + "/" if parent else "") + tag
 
 
-def _is_dropped(tag: str, attributes: str) -> bool:
-    if tag in DROPPED:
-        return True
+def _evidence(tag: str, attributes: str) -> tuple[bool, bool]:
+    """(dropped whatever its ratios, told by names to be no main text)."""
+    dropped, marked = tag in DROPPED and tag not in WRAPPERS, tag in WRAPPERS
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return dropped, marked
     for name, a, b, c in ATTR.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id") and value and NAMES.search(re.sub(r"_", "-", value)):
-            return True
-        if name == "role" and value in ROLES or name == "aria-hidden" and value == "true" or name == "hidden":
-            return True
-    return False
+        if name in ("class", "id") and value and NAMES.search(re.sub(r"_", "-", value)) or name == "role" and value in ROLES:
+            marked = True
+        if name == "aria-hidden" and value == "true" or name == "hidden":
+            dropped = True
+    return dropped, marked
 
 
 def text_nodes(page: str) -> list[tuple[Node, str, int]]:
@@ -106,7 +111,8 @@ def text_nodes(page: str) -> list[tuple[Node, str, int]]:
             continue
         if tag in VOID or m[3].endswith("/"):
             continue
-        node = Node(tag, node, node.dropped or _is_dropped(tag, m[3]), tag in ROOTS)
+        dropped, marked = _evidence(tag, m[3])
+        node = Node(tag, node, node.dropped or dropped, tag in ROOTS, marked)
     return [(n, SPACE.sub(" ", htmllib.unescape(t)), b) for n, t, b in out]
 
 
@@ -131,14 +137,48 @@ def _up(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
+def _marks(nodes: list[tuple[Node, str, int]], content: list[tuple[Node, int]]) -> set[int]:
+    """The marked elements that are read, as they wrap the content."""
+    first = next((x for n, _, _ in nodes for x in reversed([*_up(n)]) if x.root), None)
+    first = first or next((x for n, _, _ in nodes for x in _up(n) if x.tag == "h1"), None)
+    chains: dict[int, list[Node]] = {}
+    for node, _ in content:
+        if id(node) not in chains:
+            chains[id(node)] = [x for x in _up(node) if x.marked][::-1]
+    read: set[int] = set()
+    while True:
+        outside, inside, by_id = 0, defaultdict(int), {}
+        for node, size in content:
+            mark = next((x for x in chains[id(node)] if id(x) not in read), None)
+            if mark is None:
+                outside += size
+                continue
+            inside[id(mark)] += size
+            by_id[id(mark)] = mark
+        most = max(inside, key=inside.get, default=None)
+        if most is None or inside[most] <= outside or (outside if first is None else not any(x is by_id[most] for x in _up(first))):
+            return read
+        read.add(most)
+
+
 def main_text(page: str | None) -> str:
     nodes = [x for x in text_nodes(page or "") if not x[0].dropped and x[1]]
     full = [x for x in nodes if x[1].strip()]
     if not full:
         return ""
     fused, threshold = tag_path_scores(full)
-    over = [x for x, score in zip(full, fused) if score >= threshold or len(full) == 1]
-    content = [(x[0], len(x[1])) for x in over]
+    over = [(x, score) for x, score in zip(full, fused) if score >= threshold or len(full) == 1]
+    read = _marks(full, [(x[0], len(x[1])) for x, score in over if score > 0])
+    kept: dict[int, bool] = {}
+
+    def clean(node: Node) -> bool:
+        if id(node) not in kept:
+            kept[id(node)] = all(not x.marked or id(x) in read for x in _up(node))
+        return kept[id(node)]
+
+    content = [(x[0], len(x[1])) for x, _ in over if clean(x[0])]
+    if not content:
+        return ""
     homes: set[int] = set()
     in_roots = total = 0
     for node, size in content:
@@ -157,7 +197,7 @@ def main_text(page: str | None) -> str:
 
     def within(node: Node) -> bool:
         if id(node) not in inside:
-            inside[id(node)] = any(id(x) in homes for x in _up(node))
+            inside[id(node)] = clean(node) and any(id(x) in homes for x in _up(node))
         return inside[id(node)]
 
     runs: list[tuple[int, list[str]]] = []

@@ -22,3 +22,19 @@ def test_table_layout_and_small_sections_are_kept():
 def test_small_article_does_not_hide_the_text_around_it():
     page = "<body><div>" + "".join(f"<p>{p}</p>" for p in PARTS) + "</div><article><p>One, more.</p></article></body>"
     assert main_text(page) == " ".join([*PARTS, "One, more."])
+
+
+@pytest.mark.parametrize("mark", ["class='content has-sidebar'", "class=social", "id=related", "class='legal'", "class=widget", "role=form"])
+def test_marked_wrapper_of_the_article_is_read(mark):
+    article = "<h1>Head</h1>" + "".join(f"<p>{p}</p>" for p in PARTS)
+    want = " ".join(["Head", *PARTS])
+    assert main_text(f"<body><div class=menu>Home, about.</div><div {mark}><article>{article}</article></div></body>") == want
+    assert main_text(f"<body><form id=page><div class=menu>Home, about.</div><div {mark}>{article}</div></form></body>") == want
+
+
+def test_marked_sections_are_dropped_whatever_their_length():
+    long = "".join(f"<p>{p}</p>" for p in PARTS)
+    for around in ("<article>{}</article>", "<div>{}</div>"):
+        page = around.format("<h1>Head</h1><p>Short news, once.</p>")
+        assert main_text(f"<body><div class=ad>{long}</div>{page}<div id=comments>{long}</div></body>") == "Head Short news, once."
+    assert main_text(f"<body><article><p>Short news, once.</p><div class=comments>{long}</div></article></body>") == "Short news, once."
