@@ -5,8 +5,9 @@ the shuffle). The most frequent ``symbols`` words are the model's observations b
 token and one symbol for all other words; other words share that symbol's probability by their
 own smoothed counts. Baum-Welch runs over all training texts in each of ``rounds`` passes: every
 task sums the expected counts of its texts, the sums are added up per symbol in a shuffle, and
-only the parameters (states x symbols) reach the driver. Training cuts texts into segments of
-``SEGMENT`` tokens; scoring runs the scaled forward recursion over the whole text, so the score is
+only the parameters (states x symbols) reach the driver. Training runs segments of ``SEGMENT``
+tokens side by side and carries the states over their bounds both ways, so its counts are those of
+whole texts; scoring runs the scaled forward recursion over the whole text, so the score is
 the exact log10 probability of the text under the model.
 
 The base's counts of the ``head`` most frequent words are broadcast (bounded); all rarer words of
@@ -117,8 +118,46 @@ def _symbol_texts(column: pa.Array, words: Words) -> Iterator[tuple[int, np.ndar
         yield first, out, bounds + np.arange(n + 1)
 
 
+def _carried(symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, fresh: np.ndarray, at: np.ndarray, pieces: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(state before, beta at the last token) of each segment, exact over whole texts.
+
+    A later segment is a states x states matrix; the matrices of a text are chained both ways.
+    ``at`` is the row of each segment in text order; rows are by falling size.
+    """
+    k = len(model.start)
+    before, last = np.zeros((len(begin), k)), np.ones((len(begin), k))
+    many = np.argsort(-pieces, kind="stable")
+    firsts = (np.cumsum(pieces) - pieces)[many]
+    cuts = np.searchsorted(-pieces[many], -np.arange(pieces.max(initial=0)), "left")  # texts of more than j segments
+    if len(cuts) < 2:
+        return before, last
+    own = begin[at[firsts[: cuts[1]]]]  # first segments that others follow are full
+    state = model.start * model.emit[symbols[own]]
+    for t in range(1, SEGMENT):
+        state = (state / state.sum(axis=1, keepdims=True)) @ model.move * model.emit[symbols[own + t]]
+    state /= state.sum(axis=1, keepdims=True)
+    later = np.flatnonzero(~fresh)
+    chain = np.tile(np.eye(k), (len(later), 1, 1))
+    for t in range(int(size[later].max())):
+        a = int(np.searchsorted(-size[later], -t, "left"))
+        chain[:a] = (chain[:a].reshape(-1, k) @ model.move).reshape(a, k, k) * model.emit[symbols[begin[later[:a]] + t]][:, None]
+        if t % 8 == 7:
+            chain[:a] /= chain[:a].sum(axis=(1, 2), keepdims=True)
+    row = np.cumsum(~fresh) - 1
+    for j in range(1, len(cuts)):
+        own = at[firsts[: cuts[j]] + j]
+        before[own] = state[: cuts[j]]
+        state = np.einsum("ai,aij->aj", before[own], chain[row[own]])
+        state /= state.sum(axis=1, keepdims=True)
+    for j in range(len(cuts) - 1, 0, -1):
+        own = at[firsts[: cuts[j]] + j]
+        back = np.einsum("aij,aj->ai", chain[row[own]], last[own])
+        last[at[firsts[: cuts[j]] + j - 1]] = back / (before[own] * back).sum(axis=1, keepdims=True)
+    return before, last
+
+
 def expected_counts(symbols: np.ndarray, bounds: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected start, move and emission counts of texts cut into segments, and the log likelihood."""
+    """Expected start, move and emission counts of whole texts, and the log likelihood; segments run side by side."""
     k = len(model.start)
     lengths = np.diff(bounds)
     pieces = -(-lengths // SEGMENT)
@@ -127,9 +166,12 @@ def expected_counts(symbols: np.ndarray, bounds: np.ndarray, model: Model) -> tu
     fresh = np.isin(begin, bounds[:-1])
     order = np.argsort(-(end - begin), kind="stable")
     begin, size, fresh = begin[order], (end - begin)[order], fresh[order]
+    at = np.empty(len(order), np.int64)
+    at[order] = np.arange(len(order))
+    before, last = _carried(symbols, begin, size, fresh, at, pieces, model)
     steps = int(size.max()) if len(size) else 0
     active = [int(np.searchsorted(-size, -t, "left")) for t in range(steps)]
-    prior = np.where(fresh[:, None], model.start, _stationary(model.move))
+    prior = np.where(fresh[:, None], model.start, before @ model.move)
     alphas, scales, seen, loglik = [], [], [], 0.0
     state = prior
     for t in range(steps):
@@ -147,7 +189,7 @@ def expected_counts(symbols: np.ndarray, bounds: np.ndarray, model: Model) -> tu
     beta = np.ones((0, k))
     for t in range(steps - 1, -1, -1):
         a = active[t]
-        own = np.ones((a, k))
+        own = last[:a].copy()
         if t + 1 < steps:
             b = active[t + 1]
             weighted = beta * model.emit[seen[t + 1]] / scales[t + 1]
@@ -155,6 +197,8 @@ def expected_counts(symbols: np.ndarray, bounds: np.ndarray, model: Model) -> tu
             own[:b] = weighted @ model.move.T
         beta = own
         gammas[t] = alphas[t] * beta
+    if steps:  # from the last token of a segment to the next segment; ``before`` is 0 without one
+        moves += (before.T @ (beta * model.emit[seen[0]] / scales[0])) * model.move
     emit = np.zeros_like(model.emit)
     if steps:
         every, weight = np.concatenate(seen), np.concatenate(gammas)
@@ -164,13 +208,6 @@ def expected_counts(symbols: np.ndarray, bounds: np.ndarray, model: Model) -> tu
     return start, moves, emit, loglik
 
 
-def _stationary(move: np.ndarray) -> np.ndarray:
-    out = np.full(len(move), 1 / len(move))
-    for _ in range(64):
-        out = out @ move
-    return out / out.sum()
-
-
 def baum_welch_pass(train: DataFrame, words: Words, model: Model) -> tuple[Model, float]:
     """One pass over all training texts: rows (kind or symbol, counts by state), added up in a shuffle."""
     shared = train.sparkSession.sparkContext.broadcast((words, model))
