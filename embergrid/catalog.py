@@ -181,13 +181,13 @@ _BFS = f"WITH RECURSIVE {LINKS_SQL}, b(id, d) AS (SELECT min(src), 0 FROM e UNIO
 @query("bfs", f"{_BFS} SELECT id, d AS distance FROM s")
 def bfs(spark, d):
     links = network_links(spark, d)
-    return G.bfs(links, links.agg(F.min("src").alias("id")), cutoff=14).select("id", "distance")
+    return G.bfs(links, links.agg(F.min("src").alias("id"))).select("id", "distance")
 
 
 @query("bfs_stats", f"{_BFS} SELECT sum(d)::BIGINT AS total, count(*) AS reached FROM s")
 def bfs_stats(spark, d):
     links = network_links(spark, d)
-    return G.bfs_stats(G.bfs(links, links.agg(F.min("src").alias("id")), cutoff=14)).select("total", "reached")
+    return G.bfs_stats(G.bfs(links, links.agg(F.min("src").alias("id")))).select("total", "reached")
 
 
 @query("shortest_paths", f"WITH RECURSIVE {LINKS_SQL}, b(id, d) AS (SELECT min(src), 0 FROM e UNION SELECT a.dst, b.d + a.w FROM b JOIN a ON a.src = b.id WHERE b.d + a.w <= 12) SELECT id, min(d)::DOUBLE AS distance FROM b GROUP BY id")
