@@ -206,13 +206,13 @@ def degree_centrality(spark, d):
     return G.degree_centrality(network_nodes(spark, d), network_links(spark, d)).withColumn("score", F.round("score", 9))
 
 
-def _nation_graph(spark, d):
-    """Nations linked along trade: customers' and suppliers' nations of large lines."""
-    li = table(spark, d, "lineitem").where("l_quantity >= 49 and l_linenumber = 1").select("l_orderkey", "l_suppkey")
+def _nation_graph(spark, d, whole: bool = False):
+    """Nations linked along trade: customers' and suppliers' nations of all lines, or of those that _NATIONS keeps."""
+    li = table(spark, d, "lineitem").where("true" if whole else "l_quantity >= 49 and l_linenumber = 1").select("l_orderkey", "l_suppkey")
     o = li.join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("a"))
     s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("b"))
-    pairs = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).where("a <> b and (a + b) % 3 = 0")
+    pairs = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).where("a <> b" if whole else "a <> b and (a + b) % 3 = 0")
     return pairs.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.count("*").alias("w"))
 
 
@@ -243,13 +243,13 @@ def path_counts(spark, d):
 
 @query("betweenness_centrality")
 def betweenness_centrality(spark, d):
-    links = G.saved(_nation_graph(spark, d))
+    links = G.saved(_nation_graph(spark, d, whole=True))
     return G.betweenness_centrality(_ids(links), links)
 
 
 @query("eigenvector_centrality")
 def eigenvector_centrality(spark, d):
-    links = G.saved(_nation_graph(spark, d))
+    links = G.saved(_nation_graph(spark, d, whole=True))
     return G.eigenvector_centrality(_ids(links), links, rounds=30)
 
 

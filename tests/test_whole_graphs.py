@@ -21,3 +21,19 @@ def test_bfs_reaches_the_end_of_a_long_path(spark, chain):
 
 def test_bfs_stats_counts_all_reached(spark, chain):
     assert tuple(catalog.QUERIES["bfs_stats"](spark, chain).first()) == (sum(range(41)), 41)
+
+
+def test_nation_centralities_take_all_lines(spark, tmp_path):
+    """Nations 0 - 1 - 3: lines of quantity 1 and line number 2, and sums that 3 does not divide."""
+    d = str(tmp_path)
+    for name, rows, schema in (
+        ("lineitem", [(1, 1, 2, 1.0), (2, 3, 2, 1.0)], "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double"),
+        ("orders", [(1, 1), (2, 1)], "o_orderkey long, o_custkey long"),
+        ("customer", [(1, 1)], "c_custkey long, c_nationkey int"),
+        ("supplier", [(1, 0), (3, 3)], "s_suppkey long, s_nationkey int"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(f"{d}/{name}.parquet")
+    got = {r["id"]: r["score"] for r in catalog.QUERIES["betweenness_centrality"](spark, d).collect()}
+    assert got == {0: 0.0, 1: 1.0, 3: 0.0}
+    got = {r["id"]: r["score"] for r in catalog.QUERIES["eigenvector_centrality"](spark, d).collect()}
+    assert abs(got[0] - 0.5) < 1e-4 and abs(got[1] - 0.5**0.5) < 1e-4 and abs(got[3] - 0.5) < 1e-4
