@@ -159,26 +159,53 @@ def test_pii_permutes(spark):
     assert len({r["p"] for r in codes}) == 1000 == len({r["q"] for r in codes}) and all(re.fullmatch(r"\d{3}", r["p"]) for r in codes)
 
 
-@pytest.mark.parametrize("part_docs", [3, 1000])
-def test_token_files_round_trip(spark, tmp_path, part_docs):
+@pytest.mark.parametrize("part_docs, special_as_text", [(3, False), (1000, True)])
+def test_token_files_round_trip(spark, tmp_path, part_docs, special_as_text):
     from tokenizers import Tokenizer
 
-    texts = [*EDGE, "Tabs\tand\nlines \n next", "a  b 's don't", "<|endoftext|> x", "123 4567, ok?!  two"]
-    df = frame(spark, texts).union(frame(spark, ["again"]))
+    texts = [*EDGE, "Tabs\tand\nlines \n next", "a  b 's don't", "hello <|endoftext|> x", "a b<|endoftext|>", "123 4567, ok?!  two", "\u00a0 wide\u2003 space", *[f"word{i} and more" for i in range(400)]]
+    lowest = -(1 << 63)
+    rows = [*enumerate(texts), (0, "again"), (None, "no id"), (None, None), (lowest, "lowest id")]
+    df = spark.createDataFrame([(i, t, 5, "x") for i, t in rows], "doc_id long, text string, part int, base string").repartition(3)
     folder = f"file://{tmp_path}/out"
-    rows = token_files.read_tokens(spark, folder, token_files.write_tokens(df, folder, part_docs=part_docs)).orderBy("start").collect()
+    got = token_files.read_tokens(folder, token_files.write_tokens(df, folder, part_docs=part_docs, special_as_text=special_as_text)).orderBy("start").collect()
     plain = Tokenizer.from_file(token_files.default_tokenizer())
-    plain.encode_special_tokens = True
-    at = 0
-    for row, (doc_id, text) in zip(rows, sorted([*enumerate(t or "" for t in texts), (0, "again")]), strict=True):
-        ids = [*plain.encode(text, add_special_tokens=False).ids, 2]
-        assert tuple(row) == (doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), text
-        at += len(ids)
+    plain.encode_special_tokens = special_as_text
+    at, want = 0, collections.Counter()
+    assert [r["doc_id"] for r in got] == [None, None, *sorted(i for i, _ in rows if i is not None)]
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    for doc_id, text in rows:
+        ids = [*plain.encode(text or "", add_special_tokens=False).ids, 2]
+        want[doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    assert collections.Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
+
+
+def test_token_files_of_another_kind_of_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    enc, plain = token_files.BatchEncoder(path), Tokenizer.from_file(path)
+    texts = [None, "", "One two  three", " lead", "a<|endoftext|> b"]
+    ids, sizes = enc.encode(pa.array(texts))
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for x in want for i in x] and sizes.tolist() == [len(x) for x in want]
+
+
+def test_token_bases(spark):
+    rows = [(i, i % 3, 10 + i) for i in range(25) if i != 7]
+    got = token_files.with_bases(spark.createDataFrame(rows, "part int, docs long, tokens long"), block=4).orderBy("part").collect()
+    docs = tokens = 0
+    for r, (part, d, t) in zip(got, rows, strict=True):
+        assert tuple(r) == (part, d, t, docs, tokens)
+        docs, tokens = docs + d, tokens + t
 
 
 def test_token_files_empty(spark, tmp_path):
     folder = f"file://{tmp_path}/none"
-    assert token_files.read_tokens(spark, folder, token_files.write_tokens(frame(spark, []), folder)).count() == 0
+    assert token_files.read_tokens(folder, token_files.write_tokens(frame(spark, []), folder)).count() == 0
 
 
 def brute_pack(items, capacity):
