@@ -11,7 +11,8 @@ leaves whole files only; they are read back by memory map where the folder is mo
 A batch of texts is cut at single spaces, and its distinct chunks are encoded together: in a text
 without double, leading or trailing spaces byte-level pre-tokens never reach over a space, so the
 ids are those of the whole text. All other texts, those with the string of a special token, and all
-texts under a tokenizer of another kind are encoded whole. Nothing is remembered between batches.
+texts under a tokenizer of another kind are encoded whole. A task remembers its first ``KNOWN``
+chunks of at most ``KNOWN_BYTES`` bytes each, and forgets them when it ends.
 
 Defined results: a null or empty text is its end id alone; rows of equal doc_id follow each other
 in order of a hash of their texts, then of their texts, so that a hot doc_id spreads over parts;
@@ -40,6 +41,7 @@ MAGIC = b"EMBRTOK2"
 PART_DOCS = 8192
 PART_BLOCK = 4096
 JOINED = 256
+KNOWN, KNOWN_BYTES = 200_000, 32
 _encoders: dict[tuple[str, bool], "BatchEncoder"] = {}
 
 
@@ -72,6 +74,30 @@ class BatchEncoder:
         self.opens = np.zeros(size, dtype=bool)  # ids that begin with a space
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith("\u0120")
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.held = (np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _looked_up(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, start, size) of a space and each distinct chunk, remembered or encoded."""
+        found = pc.index_in(chunks, value_set=self.known)
+        new = found.is_null().to_numpy(zero_copy_only=False)
+        missing = chunks.filter(pa.array(new))
+        flat, starts, sizes = self._chunks(missing.to_pylist())
+        held, at, lengths = self.held
+        every = np.concatenate([held, flat])
+        pick = found.fill_null(0).to_numpy().astype(np.int64)
+        pick[new] = len(at) + np.arange(len(missing))
+        at, lengths = np.concatenate([at, len(held) + starts]), np.concatenate([lengths, sizes])
+        keep = np.flatnonzero(pc.less_equal(pc.binary_length(missing), KNOWN_BYTES).to_numpy(zero_copy_only=False))[: KNOWN - len(self.known)]
+        if len(keep):
+            old = len(self.known)
+            own = _ragged(flat, starts[keep], sizes[keep])
+            self.known = pa.concat_arrays([self.known, missing.take(pa.array(keep))])
+            self.held = (np.concatenate([held, own]), np.concatenate([at[:old], len(held) + np.cumsum(sizes[keep]) - sizes[keep]]), np.concatenate([lengths[:old], sizes[keep]]))
+        return every, at[pick], lengths[pick]
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         own = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -105,7 +131,7 @@ class BatchEncoder:
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
         index, known = coded.indices.to_numpy(), len(coded.dictionary)
-        a, starts, lengths = self._chunks(coded.dictionary.to_pylist())
+        a, starts, lengths = self._looked_up(coded.dictionary)
         b, own = self._whole(split.flatten().take(pa.array(bounds[:-1])).to_pylist())
         index = index.copy()
         index[bounds[:-1]] = known + np.arange(len(bounds) - 1)
@@ -159,6 +185,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
 
         part, enc = TaskContext.get().partitionId(), encoder(tokenizer, special_as_text)
         fs, root = _filesystem(folder)
+        enc.forget()
         keys, nulls, counts = [], [], [np.zeros(0, np.int64)]
 
         def encoded():
@@ -172,6 +199,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
 
         name = f"{root}/part-{part:06d}"
         _put(fs, f"{name}.bin", encoded())
+        enc.forget()
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype("<i8")
         docs = len(offsets) - 1
         _put(fs, f"{name}.idx", [MAGIC, np.array([enc.dtype.itemsize, docs], dtype="<i8").tobytes(), *[k.astype("<i8").tobytes() for k in keys], offsets.tobytes(), *[x.tobytes() for x in nulls]])
