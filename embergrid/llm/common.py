@@ -32,7 +32,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing reads any more; other DataFrames are left alone."""
+    for df in tables:
+        path = getattr(df, "_written_to", None)
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+            target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+            df._written_to = None
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
