@@ -10,10 +10,12 @@ Items go in blocks of ``block_chars`` characters, one pass over the documents fo
 the automaton that is broadcast has a fixed bound whatever the number of items. Every hit is
 verified unless a verified window of its item covers it; nothing is capped.
 
-Defined results: null texts and items match nothing; items shorter than ``min_chars`` normalised
-characters are not searched; of several occurrences of an item in a text the one with least
-distance is returned, then the leftmost end; equal items are each reported; repeated rows of a
-document are judged row by row.
+Defined results: null texts and items match nothing, nor do items without a character other than
+white space; items shorter than ``short_chars`` normalised characters must stand unchanged, with no
+letter or digit right before or after them; of several occurrences of an item in a text the one with
+least distance is returned, then the leftmost end; equal items are each reported, items without an id
+under a null id; repeated rows of a document are judged row by row. Extra columns play no part;
+keys named item_id, distance or end are an error, as the result has columns of these names.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
+from .common import documents, small_batches, written
 
 BUDGET = 0.08
-MIN_CHARS = 20
+SHORT_CHARS = 20
 BLOCK_CHARS = 4_000_000
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -44,8 +46,8 @@ def pieces(item: str, k: int) -> list[tuple[int, str]]:
 class Pattern:
     """A test item with its masks for Myers' algorithm."""
 
-    def __init__(self, item_id: int, item: str, k: int):
-        self.item_id, self.n, self.k = item_id, len(item), k
+    def __init__(self, item_id: int | None, item: str, k: int, short: bool):
+        self.item_id, self.n, self.k, self.short = item_id, len(item), k, short
         self.masks: dict[str, int] = {}
         for i, c in enumerate(item):
             self.masks[c] = self.masks.get(c, 0) | 1 << i
@@ -77,17 +79,18 @@ class Pattern:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], budget: float = BUDGET, min_chars: int = MIN_CHARS):
+    def __init__(self, items: list[tuple[int | None, str]], budget: float = BUDGET, short_chars: int = SHORT_CHARS):
         self.patterns: list[Pattern] = []
         self.automaton = ahocorasick.Automaton()
         starts: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             item = normal(text)
-            if len(item) >= min_chars:
-                k = int(budget * len(item))
+            if item:
+                short = len(item) < short_chars
+                k = 0 if short else int(budget * len(item))
                 for at, piece in pieces(item, k):
                     starts.setdefault(piece, []).append((len(self.patterns), at))
-                self.patterns.append(Pattern(item_id, item, k))
+                self.patterns.append(Pattern(item_id, item, k, short))
         for piece, found in starts.items():
             self.automaton.add_word(piece, (len(piece), found))
         if starts:
@@ -99,9 +102,14 @@ class Matcher:
             return []
         text = normal(text)
         windows: dict[int, list[tuple[int, int]]] = {}
+        whole: dict[int, int] = {}  # ends of the first occurrences of short items
         for last, (size, found) in self.automaton.iter(text):
             for p, at in found:
                 pattern = self.patterns[p]
+                if pattern.short:
+                    if p not in whole and not (text[last - size : last - size + 1].isalnum() and last >= size or text[last + 1 : last + 2].isalnum()):
+                        whole[p] = last + 1
+                    continue
                 begin = last + 1 - size - at
                 window = (max(0, begin - pattern.k), min(len(text), begin + pattern.n + pattern.k))
                 own = windows.setdefault(p, [])
@@ -111,7 +119,7 @@ class Matcher:
                     own[-1] = (min(own[-1][0], window[0]), max(own[-1][1], window[1]))
                 else:
                     own.append(window)
-        out = []
+        out = [(self.patterns[p].item_id, 0, end) for p, end in whole.items()]
         for p, own in windows.items():
             pattern, found = self.patterns[p], []
             for a, b in own:
@@ -128,7 +136,7 @@ class Matcher:
 def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int):
     """The items in blocks of bounded size, fetched one partition at a time."""
     own, size = [], 0
-    for row in benchmark.where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(item_id, text).toLocalIterator():
+    for row in benchmark.where(F.col(text).isNotNull()).select(item_id, text).toLocalIterator():
         own.append((row[0], row[1]))
         size += len(row[1])
         if size >= block_chars:
@@ -138,17 +146,33 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int)
         yield own
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", budget: float = BUDGET, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", budget: float = BUDGET, short_chars: int = SHORT_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row (keys, item_id, distance, end) for each document and item it holds."""
+    if {k.lower() for k in keys} & {"item_id", "distance", "end"}:
+        raise ValueError("keys may not be named item_id, distance or end")
     spark, out = docs.sparkSession, None
     small_batches(spark)
+    rows = docs.select(F.struct(*keys).alias("k"), F.col(text).alias("t"))
     for block in item_blocks(benchmark, item_id, item_text, block_chars):
-        shared = spark.sparkContext.broadcast(Matcher(block, budget, min_chars))
-        judge = _udf(shared)
-        found = docs.select(*keys, judge(F.col(text)).alias("__m")).where(F.size("__m") > 0)
-        found = found.select(*keys, F.explode("__m").alias("m")).select(*keys, "m.item_id", "m.distance", "m.end")
+        judge = _udf(spark.sparkContext.broadcast(Matcher(block, budget, short_chars)))
+        found = rows.select("k", judge("t").alias("m")).where(F.size("m") > 0)
+        found = found.select("k", F.explode("m").alias("m")).select("k.*", "m.item_id", "m.distance", "m.end")
         out = found if out is None else out.union(found)
-    return docs.select(*keys, F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("distance"), F.lit(0).alias("end")).where("false") if out is None else out
+    none = rows.where("false").select("k.*", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("distance"), F.lit(0).alias("end"))
+    return none if out is None else out
+
+
+def without_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", budget: float = BUDGET, short_chars: int = SHORT_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` that hold no item; judged row by row, so ids play no part. The kept rows are written after each block of items but the last."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    done = None
+    for block in item_blocks(benchmark, item_id, item_text, block_chars):
+        if done is not None:
+            docs = written(done, "clean")
+        judge = _udf(spark.sparkContext.broadcast(Matcher(block, budget, short_chars)))
+        done = docs.where(F.size(judge(F.col(text))) == 0)
+    return docs if done is None else done
 
 
 def _udf(shared):

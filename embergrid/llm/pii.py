@@ -6,15 +6,21 @@ in all documents. Only DataFrame functions are used; one pass over the text, no
 * payment cards (13 to 19 digits, plain or in groups, Luhn-valid): the payload's digits are
   permuted, the check digit is set anew; digits that fail the check stay.
 * dates (yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, dd/mm/yyyy, or mm/dd/yyyy where only that is
-  valid; years 1600 to 2399): permuted among the days of their 400-year cycle.
+  valid; years 1600 to 2399): permuted among the days of their 400-year cycle, month-first dates
+  among those that have no day-first reading, so that no two dates meet in one string.
 * IPv4 addresses with octets up to 255: permuted among all addresses.
 * US social security numbers: permuted until valid (cycle walking).
-* phone numbers: the digits behind the country code; e-mail addresses: all but the top-level
-  domain; secrets (``token = ...`` and the like, or 32 to 64 hexadecimal digits): every letter
-  and digit within its class.
+* phone numbers: the last ten digits (all, if they are fewer) as one number, whatever stands
+  between them, so a number is linked over all its spellings; digits before those stay.
+* e-mail addresses: all but the top-level domain, in lower case; capitals are set anew in their
+  places, so an address is linked whatever its case (A-Z).
+* secrets (``token = ...`` and the like, or 32 to 64 hexadecimal digits): every letter and digit
+  within its class.
 
 Digits permute among digits, lower-case among lower-case letters, capitals among capitals, by an
 alternating Feistel network whose round function is SHA-256 of key, round, other half and place.
+Who has the key can undo the pseudonyms; it is a required argument. ``QUERY_KEY`` is for the
+registered queries and tests only.
 
 Defined results: a null text stays null with zero counts; empty and letterless texts stay as they
 are. Matches do not overlap; the leftmost wins, in the order email, secret, address, date, phone,
@@ -26,10 +32,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, free_name
 from .quality import let
 
-KEY = "public test key"
+QUERY_KEY = "public test key"
 ROUNDS = 6
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"
 NAMED_SECRET = r"(?i:token|secret|password|passwd|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/-]{12,}+"
@@ -122,11 +128,18 @@ def _date(m: Column, key: str) -> Column:
     out = m
     base = F.to_date(F.lit("2000-01-01"))
 
+    def step(n: Column) -> Column:
+        """The day ``n`` moved within its cycle of 400 years."""
+        block, at = F.floor(n / 146_097), F.pmod(n, F.lit(146_097))
+        pair = permute_pair(at % CYCLE[0], F.floor(at / CYCLE[0]), CYCLE, key + "/date")
+        return let(pair, lambda p: (block * 146_097 + p["a"] + p["b"] * CYCLE[0]).cast("int"))
+
     def moved_as(layout: str):
         def moved(n: Column) -> Column:
-            block, at = F.floor(n / 146_097), F.pmod(n, F.lit(146_097))
-            pair = permute_pair(at % CYCLE[0], F.floor(at / CYCLE[0]), CYCLE, key + "/date")
-            new = let(pair, lambda p: (block * 146_097 + p["a"] + p["b"] * CYCLE[0]).cast("int"))
+            new = step(n)
+            if layout == "MM/dd/yyyy":  # walk on to a day that only month-first dates have
+                apart = lambda d: F.dayofmonth(F.date_add(base, d)) > 12
+                new = F.aggregate(F.sequence(F.lit(1), F.lit(40)), new, lambda d, _: F.when(apart(d), d).otherwise(step(d)))
             return F.date_format(F.date_add(base, new), layout)
 
         return moved
@@ -155,38 +168,60 @@ def _ssn(m: Column, key: str) -> Column:
     return F.when(valid(m), walked).otherwise(m)
 
 
+def _email(m: Column, key: str) -> Column:
+    def cased(lower: Column) -> Column:
+        def char(i: Column) -> Column:
+            c = F.substr(lower, i, F.lit(1))
+            return F.when(F.substr(m, i, F.lit(1)).rlike("[A-Z]"), F.upper(c)).otherwise(c)
+
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), char), "")
+
+    domain = F.regexp_extract(m, r"\.[A-Za-z0-9-]+$", 0)
+    own = F.lower(F.substr(m, F.lit(1), F.length(m) - F.length(domain)))
+    return let(F.concat(permute(own, key + "/email"), F.lower(domain)), cased)
+
+
+def _phone(m: Column, key: str) -> Column:
+    def replaced(digits: Column) -> Column:
+        kept = F.greatest(F.length(digits) - 10, F.lit(0))
+        return let(F.concat(F.substr(digits, F.lit(1), kept), permute(F.substr(digits, kept + 1, F.lit(10)), key + "/phone")), lambda d: _fill(m, d))
+
+    return let(F.regexp_replace(m, "[^0-9]", ""), replaced)
+
+
 def pseudonym(m: Column, key: str) -> Column:
     """The replacement of one matched value."""
 
     def whole(pattern: str) -> Column:
         return m.rlike(f"^(?:{pattern})$")
 
-    head = F.when(m.contains("@"), F.lit("")).when(m.rlike(r"[=:]"), F.regexp_extract(m, r"^.*?[=:]\s{0,3}[\"']?", 0)).otherwise(F.regexp_extract(m, r"^\+\d{1,3}", 0))
-    tail = F.when(m.contains("@"), F.regexp_extract(m, r"\.[A-Za-z0-9-]+$", 0)).otherwise("")
-    plain = let(F.struct(head.alias("h"), tail.alias("t")), lambda x: F.concat(x["h"], permute(F.substr(m, F.length(x["h"]) + 1, F.length(m) - F.length(x["h"]) - F.length(x["t"])), key), x["t"]))
+    head = F.when(m.rlike(r"[=:]"), F.regexp_extract(m, r"^.*?[=:]\s{0,3}[\"']?", 0)).otherwise("")
+    secret = let(head, lambda h: F.concat(h, permute(F.substr(m, F.length(h) + 1, F.length(m) - F.length(h)), key)))
     special = m.rlike("^[0-9][0-9./ -]*$")
     return (
-        F.when(~special, plain)
+        F.when(m.contains("@") & ~m.rlike("[=:]"), _email(m, key))
+        .when(m.rlike(r"^[+(]"), _phone(m, key))
+        .when(~special | whole("[0-9]{32,64}"), secret)
         .when(whole(r"(?:\d{1,3}\.){3}\d{1,3}"), _address(m, key))
         .when(whole(r"\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4}"), _date(m, key))
         .when(whole(r"\d{3}-\d{2}-\d{4}"), _ssn(m, key))
-        .when(whole(r"\d{3}[.-]\d{3}[.-]\d{4}"), plain)
+        .when(whole(r"\d{3}[.-]\d{3}[.-]\d{4}"), _phone(m, key))
         .otherwise(_card(m, key))
     )
 
 
-def pseudonymise(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``df`` with the personal data of ``text`` replaced and ``n_pii``, the number of replaced values."""
-    t = F.col(text)
+    t, old, new = F.col(text), free_name(df, "found"), free_name(df, "new")
     found = F.when(t.rlike("[0-9@=:]"), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)))
-    out = df.withColumn("__found", found)
-    out = out.withColumn("__new", F.when(F.size("__found") > 0, F.transform("__found", lambda m: pseudonym(m, key))))
+    out = df.withColumn(old, found)
+    out = out.withColumn(new, F.when(F.size(old) > 0, F.transform(old, lambda m: pseudonym(m, key))))
     parts = F.split(t, PATTERN, -1)
-    joined = let(F.struct(parts.alias("p"), F.col("__new").alias("m")), lambda x: F.array_join(F.zip_with(x["p"], x["m"], lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
-    count = F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: F.when(a != b, 1)), lambda x: x.isNotNull()))
-    out = out.withColumns({text: F.when(F.col("__new").isNotNull(), joined).otherwise(t), "n_pii": F.when(F.col("__new").isNotNull(), count).otherwise(0).cast("long")})
-    return out.drop("__found", "__new")
+    joined = let(F.struct(parts.alias("p"), F.col(new).alias("m")), lambda x: F.array_join(F.zip_with(x["p"], x["m"], lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
+    count = F.size(F.filter(F.zip_with(old, new, lambda a, b: F.when(a != b, 1)), lambda x: x.isNotNull()))
+    out = out.withColumns({text: F.when(F.col(new).isNotNull(), joined).otherwise(t), "n_pii": F.when(F.col(new).isNotNull(), count).otherwise(0).cast("long")})
+    return out.drop(old, new)
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
-    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))
+    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), QUERY_KEY)

@@ -139,7 +139,7 @@ def luhn(s):
 
 def test_pii(spark):
     texts = [*EDGE, "card 4111111111111111, 4111 1111 1111 1111. no 4111111111111112", "on 2024-02-29 or 31.12.1999 or 2023-02-30", "ip 10.0.0.1 not 300.1.1.1 or 1.2.3.4.5", "ssn 123-45-6789 not 000-12-3456", "+1 (017) 555-7713", "me.x1@mail7.example.com", 'token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"', "4111111111111111"]
-    out = {r["doc_id"]: r for r in pii.pseudonymise(frame(spark, texts)).collect()}
+    out = {r["doc_id"]: r for r in pii.pseudonymise(frame(spark, texts), "k").collect()}
     for i, t in enumerate(EDGE):
         assert out[i]["text"] == t and out[i]["n_pii"] == 0
     k = len(EDGE)
@@ -150,7 +150,29 @@ def test_pii(spark):
     assert re.fullmatch(r"ssn (?!000|666|9)\d{3}-\d\d-\d{4} not 000-12-3456", out[k + 3]["text"]) and "123-45" not in out[k + 3]["text"]
     assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", out[k + 4]["text"]) and re.fullmatch(r"[a-z]{2}\.[a-z]\d@[a-z]{4}\d\.[a-z]{7}\.com", out[k + 5]["text"])
     assert re.fullmatch(r'token = "[a-z0-9]{40}"', out[k + 6]["text"]) and "b44e15e0" not in out[k + 6]["text"]
-    assert pii.pseudonymise(frame(spark, [])).count() == 0
+    assert pii.pseudonymise(frame(spark, []), "k").count() == 0
+    with pytest.raises(TypeError):
+        pii.pseudonymise(frame(spark, []))
+
+
+def test_pii_links_spellings(spark):
+    texts = ["+1 (017) 555-7713", "+1 017 555 7713", "+10175557713", "(017) 555-7713", "017-555-7713", "A.B@x.com", "a.b@X.com", "a.c@x.com", "9" * 32]
+    df = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in enumerate(texts)] * 2, "doc_id long, text string, found string, new string, N_PII int")
+    rows = pii.pseudonymise(df, "k").collect()
+    out = dict((r["doc_id"], r["text"]) for r in rows)
+    assert len(rows) == 2 * len(texts) == 2 * len({r["doc_id"] for r in rows}) and {(r["found"], r["new"]) for r in rows} == {("x", "y")}
+    digits = [re.sub("[^0-9]", "", out[i]) for i in range(5)]
+    assert digits[0] == digits[1] == digits[2] == "1" + digits[3] and digits[3] == digits[4] != "0175557713"
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", out[0]) and re.fullmatch(r"\+\d{11}", out[2])
+    assert out[5].lower() == out[6].lower() != out[7].lower() and re.fullmatch(r"[A-Z]\.[A-Z]@[a-z]\.com", out[5]) and out[8] != texts[8]
+
+
+def test_pii_dates_never_meet(spark):
+    """Day-first and month-first dates of one year keep apart: no two of them get one string."""
+    days = [(d, m) for m in range(1, 13) for d in range(1, 29)]
+    texts = [f"{d:02d}/{m:02d}/2021" for d, m in days] + [f"{m:02d}/{d:02d}/2021" for d, m in days if d > 12]
+    out = [r["text"] for r in pii.pseudonymise(frame(spark, texts), "k").collect()]
+    assert len(set(texts)) == len(texts) == len(set(out))
 
 
 def test_pii_permutes(spark):
@@ -272,19 +294,34 @@ def distance(item, text):
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(4)
     words = [f"{a}{b}" for a in "bcdfg" for b in "aeiou"]
-    items = [(i, " ".join(rng.choices(words, k=rng.choice([9, 20, 40])))) for i in range(8)] + [(98, None), (99, "short")]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([9, 20, 40])))) for i in range(8)] + [(98, None), (99, " \n"), (100, "Short  q"), (None, "no, id"), (101, "w")]
     texts = [*EDGE]
     for _ in range(60):
         own = list(rng.choice(items[:8])[1])
         for _ in range(rng.choice([0, 1, 2, 4, 6, 9])):
             own[rng.randrange(len(own))] = rng.choice(["", "z", "yy"])
         texts.append(" ".join(rng.choices(words, k=10)) + " " + "".join(own).upper() + "\n" + " ".join(rng.choices(words, k=10)))
-    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.matches(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string"), ["doc_id"], block_chars=100).collect()}
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
     want = {}
     for i, t in enumerate(texts):
         for j, item in items[:8]:
             d, _ = distance(decontaminate.normal(item), decontaminate.normal(t or ""))
             if d <= int(decontaminate.BUDGET * len(item)):
                 want[i, j] = d
-    assert got == want and len(want) > 20
+    whole = {100: "short q", None: "no, id", 101: "w"}
+    texts += ["SHORT Q", "a short\tq, and", "short quite", "ashort q", "No, id!", "no, ids", "say w."]
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.matches(frame(spark, texts).withColumn("k", F.lit(1)), bench, ["doc_id"], block_chars=100).collect()}
+    for i, t in enumerate(texts):
+        for j, item in whole.items():
+            if re.search(rf"(?<![^\W_]){re.escape(item)}(?![^\W_])", decontaminate.normal(t or "")):
+                want[i, j] = 0
+    assert got == want and len(want) > 30 and sum(j in whole for _, j in want) == 4 + 1
+    clean = [r["doc_id"] for r in decontaminate.without_matches(frame(spark, texts), bench, block_chars=100).collect()]
+    assert sorted(clean) == [i for i in range(len(texts)) if i not in {i for i, _ in want}]
+    twice = spark.createDataFrame([(None, "a short q", 1, 2), (None, "a short q", 1, 2), (None, None, 1, 2), (4, "x " * 60_000 + "no, id", 1, 2)], "m long, text string, `__m` int, k int")
+    found = decontaminate.matches(twice, bench, ["m", "__m", "k"]).collect()
+    assert [tuple(r)[:4] for r in found] == [(None, 1, 2, 100)] * 2 + [(4, 1, 2, None)] and decontaminate.without_matches(twice, bench).count() == 1
+    assert decontaminate.without_matches(twice, bench.where("false")).count() == 4
+    with pytest.raises(ValueError):
+        decontaminate.matches(frame(spark, []).withColumn("distance", F.lit(1)), bench, ["distance"])
     assert decontaminate.matches(frame(spark, texts), spark.createDataFrame([], "item_id long, text string"), ["doc_id"]).count() == 0
