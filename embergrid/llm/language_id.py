@@ -2,16 +2,20 @@
 
 A text is the average of the embeddings of its hashed byte n-grams (2 to 4 bytes of a word with
 its boundary marks), a linear softmax maps the average to languages. Training is stochastic
-gradient descent in numpy on a bounded sample: at most ``max_docs_per_lang`` labelled documents a
-language, ``spans`` word spans of each. A second part of the sample fits the temperature that
-calibrates the probabilities and the score below which a text is rejected.
+gradient descent in numpy on a bounded sample of labelled documents, chosen by a hash of id and text.
+The bounds are parameters: ``max_docs_per_lang`` documents a language for the ``max_languages`` most
+frequent languages, ``spans`` word spans of each document, and of a span longer than
+``max_span_chars`` a window of so many characters at a random place. A quarter of the sampled
+documents, none of which are trained on, fits the temperature that calibrates the probabilities and
+the score below which a text is rejected.
 
 For prediction the embedding and the softmax weights are folded into one table of bucket by
 language, so whole texts of any length are scored in bounded blocks.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and rejected; a
 language equally probable with another goes to the first in name order; labels that are null are
-never learned from; with no labelled rows every text is ``und``. Repeated rows are predicted alike.
+never learned from; with no labelled rows every text is ``und``. Repeated rows are predicted alike;
+ids are of any type and may be null. Extra columns stay, the new ones replace columns of their names.
 """
 
 from __future__ import annotations
@@ -25,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fold, small_batches
+from .common import documents, fold, free_name, small_batches
 from .wordhash import TABLE, blocks, buffers, mix
 
 UNDETERMINED = "und"
+MAX_LANGUAGES, MAX_SPAN_CHARS, BLOCK_BYTES = 1000, 1000, 1 << 17
 GRAMS = (2, 3, 4)
 
 
@@ -45,24 +50,17 @@ def _lowered() -> np.ndarray:
 LOWERED = _lowered()
 
 
-def gram_buckets(data: np.ndarray, offsets: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of the texts and, beside each, the index of its text.
-
-    An n-gram may begin or end with a boundary and has none inside.
-    """
-    n_texts = len(offsets) - 1
-    padded = np.full(len(data) + 2 * n_texts, 32, dtype=np.uint8)
-    text_of = np.repeat(np.arange(n_texts, dtype=np.int64), np.diff(offsets) + 2)
-    padded[np.arange(len(data)) + 2 * np.repeat(np.arange(n_texts), np.diff(offsets)) + 1] = LOWERED[data]
+def _grams(padded: np.ndarray, text_of: np.ndarray | None, starts: int, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, place) of the n-grams that begin in the first ``starts`` bytes; ``text_of`` is None for one text."""
     values, space = TABLE[padded], padded == 32
-    parts, owners = [], []
+    parts, places = [], []
     for n in GRAMS:
-        m = len(padded) - n + 1
+        m = min(len(padded) - n + 1, starts)
         if m <= 0:
             continue
-        ok = text_of[:m] == text_of[n - 1 :]
+        ok = np.ones(m, dtype=bool) if text_of is None else text_of[:m] == text_of[n - 1 : n - 1 + m]
         if n == 2:
-            ok &= ~(space[:m] & space[1:])
+            ok &= ~(space[:m] & space[1 : m + 1])
         for k in range(1, n - 1):
             ok &= ~space[k : m + k]
         at = np.flatnonzero(ok)
@@ -70,10 +68,31 @@ def gram_buckets(data: np.ndarray, offsets: np.ndarray, n_buckets: int) -> tuple
         for k in range(1, n):
             h = h * np.uint64(0x9E3779B97F4A7C15) + values[at + k]
         parts.append((mix(h + np.uint64(n)) % np.uint64(n_buckets)).astype(np.int64))
-        owners.append(text_of[at])
+        places.append(at)
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(parts), np.concatenate(owners)
+    return np.concatenate(parts), np.concatenate(places)
+
+
+def gram_buckets(data: np.ndarray, offsets: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all n-grams of the texts and, beside each, the index of its text.
+
+    An n-gram may begin or end with a boundary and has none inside.
+    """
+    n_texts = len(offsets) - 1
+    padded = np.full(len(data) + 2 * n_texts, 32, dtype=np.uint8)
+    text_of = np.repeat(np.arange(n_texts, dtype=np.int64), np.diff(offsets) + 2)
+    padded[np.arange(len(data)) + 2 * np.repeat(np.arange(n_texts), np.diff(offsets)) + 1] = LOWERED[data]
+    buckets, places = _grams(padded, text_of, len(padded), n_buckets)
+    return buckets, text_of[places]
+
+
+def long_gram_buckets(data: np.ndarray, n_buckets: int, size: int) -> Iterator[np.ndarray]:
+    """The same buckets for one long text, those that begin in ``size`` bytes at a time."""
+    padded = np.full(len(data) + 2, 32, dtype=np.uint8)
+    padded[1:-1] = LOWERED[data]
+    for at in range(0, len(padded), size):
+        yield _grams(padded[at : at + size + max(GRAMS) - 1], None, size, n_buckets)[0]
 
 
 @dataclass
@@ -88,71 +107,62 @@ class LanguageModel:
         data, offsets = buffers(column)
         n, k = len(offsets) - 1, len(self.languages)
         total, count = np.zeros((n, k)), np.zeros(n)
-        for at, to in blocks(offsets, 1 << 17):
-            if to - at == 1:  # a long text goes in pieces cut at word boundaries
-                pieces = _pieces(data[offsets[at] : offsets[to]], 1 << 17)
-            else:
-                pieces = [(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])]
-            for own, bounds in pieces:
-                buckets, owner = gram_buckets(own, bounds, len(self.table))
-                size = to - at
-                for j in range(k):
-                    total[at:to, j] += np.bincount(owner, self.table[buckets, j], minlength=size)
-                count[at:to] += np.bincount(owner, minlength=size)
+        for at, to in blocks(offsets, BLOCK_BYTES):
+            own = data[offsets[at] : offsets[to]]
+            if len(own) > BLOCK_BYTES:
+                for buckets in long_gram_buckets(own, len(self.table), BLOCK_BYTES):
+                    total[at] += self.table[buckets].sum(axis=0)
+                    count[at] += len(buckets)
+                continue
+            buckets, owner = gram_buckets(own, offsets[at : to + 1] - offsets[at], len(self.table))
+            for j in range(k):
+                total[at:to, j] += np.bincount(owner, self.table[buckets, j], minlength=to - at)
+            count[at:to] += np.bincount(owner, minlength=to - at)
         logits = total / np.maximum(count, 1)[:, None] / self.temperature
         logits -= logits.max(axis=1, keepdims=True) if k else 0
         p = np.exp(logits)
         return p / p.sum(axis=1, keepdims=True)
 
 
-def _pieces(data: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """A long text cut after boundaries, each piece with offsets of its own."""
-    out, at = [], 0
-    while len(data) - at > size:
-        cut = np.flatnonzero(LOWERED[data[at + size // 2 : at + size]] == 32)
-        to = at + size // 2 + int(cut[-1]) + 1 if len(cut) else at + size
-        out.append(data[at:to])
-        at = to
-    return [(x, np.array([0, len(x)])) for x in [*out, data[at:]]]
-
-
-def training_spans(df: DataFrame, max_docs_per_lang: int, spans: int) -> pd.DataFrame:
-    """Spans of the sampled documents: (lang, span, part). Sampling is by a hash of the id."""
+def training_spans(df: DataFrame, max_docs_per_lang: int, spans: int, max_languages: int = MAX_LANGUAGES, max_span_chars: int = MAX_SPAN_CHARS) -> pd.DataFrame:
+    """Spans of the sampled documents: (lang, span, part); a document's spans are all of one part."""
     small_batches(df.sparkSession)
-    labelled = df.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(256).collect()}
+    labelled = df.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("doc_id", "text").alias("seed"))
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     if not counts:
         return pd.DataFrame({"lang": [], "span": [], "part": []})
-    spread = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(1_000_000))
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1.0, 1.1 * max_docs_per_lang / n) * 1_000_000)))])
-    chosen = labelled.where(spread < F.coalesce(F.get(F.map_values(F.map_filter(share, lambda k, v: k == F.col("lang"))), F.lit(0)), F.lit(0)))
+    spread = F.pmod(F.xxhash64("seed", F.lit("language")), F.lit(1_000_000))
+    shares = df.sparkSession.createDataFrame([(lang, int(min(1.0, 1.1 * max_docs_per_lang / n) * 1_000_000)) for lang, n in counts.items()], "lang string, share long")
+    chosen = labelled.join(F.broadcast(shares), "lang").where(spread < F.col("share"))  # a row for each of max_languages
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, text, lang in zip(batch["doc_id"], batch["text"], batch["lang"]):
-                words, rng = text.split(), np.random.RandomState(int(doc_id or 0) % (1 << 31))
+            for text, lang, seed in zip(batch["text"], batch["lang"], batch["seed"]):
+                words, rng, own = text.split(), np.random.RandomState(seed % (1 << 31)), seed % (1 << 62)
                 for i in range(spans if words else 0):
                     n = int(rng.choice([2, 5, 12, 40]))
                     at = rng.randint(0, max(1, len(words) - n + 1))
-                    rows.append((lang, " ".join(words[at : at + n])[:1000], i % 4))
-            yield pd.DataFrame(rows, columns=["lang", "span", "part"])
+                    span = " ".join(words[at : at + n])
+                    at = rng.randint(0, max(1, len(span) - max_span_chars + 1))
+                    rows.append((lang, span[at : at + max_span_chars], own % 4, own, i))
+            yield pd.DataFrame(rows, columns=["lang", "span", "part", "own", "i"])
 
-    out = chosen.select("doc_id", "text", "lang").mapInPandas(cut, "lang string, span string, part int").toPandas()
-    out = out.sort_values(["lang", "span", "part"], kind="stable")
-    return out.groupby("lang", sort=True).head(max_docs_per_lang * spans * 2).reset_index(drop=True)
+    out = chosen.select("text", "lang", "seed").mapInPandas(cut, "lang string, span string, part int, own long, i int").toPandas()
+    out = out.sort_values(["lang", "own", "i", "span"], kind="stable")
+    return out.groupby("lang", sort=True).head(max_docs_per_lang * spans)[["lang", "span", "part"]].reset_index(drop=True)
 
 
-def train(df: DataFrame, max_docs_per_lang: int = 1000, spans: int = 4, n_buckets: int = 1 << 16, dim: int = 12, epochs: int = 3, rate: float = 0.5, reject_share: float = 0.001, seed: int = 7) -> LanguageModel:
+def train(df: DataFrame, max_docs_per_lang: int = 1000, spans: int = 4, n_buckets: int = 1 << 16, dim: int = 12, epochs: int = 3, rate: float = 0.5, reject_share: float = 0.001, seed: int = 7, max_languages: int = MAX_LANGUAGES, max_span_chars: int = MAX_SPAN_CHARS) -> LanguageModel:
     """Fit on (doc_id, text, lang)."""
-    sample = training_spans(df, max_docs_per_lang, spans)
+    sample = training_spans(df, max_docs_per_lang, spans, max_languages, max_span_chars)
     languages = sorted(sample["lang"].unique())
     if not languages:
         return LanguageModel([], np.zeros((n_buckets, 0)), 1.0, 1.0)
     label = sample["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()
     data, offsets = buffers(pa.array(sample["span"].tolist(), type=pa.string()))
     parts = []
-    for at, to in blocks(offsets, 1 << 17):
+    for at, to in blocks(offsets, BLOCK_BYTES):
         b, o = gram_buckets(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], n_buckets)
         parts.append((b.astype(np.int32), (o + at).astype(np.int32)))
     buckets, owner = (np.concatenate(x) for x in zip(*parts))
@@ -215,12 +225,13 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
         return pd.DataFrame({"lang_pred": np.array(m.languages, dtype=object)[best], "score": p[np.arange(len(p)), best]})
 
     lettered = F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}")
-    out = df.select(*keep, judge(F.col(text)).alias("__judged"), lettered.alias("__lettered"))
-    lang = F.when(F.col("__lettered"), F.col("__judged.lang_pred")).otherwise(UNDETERMINED)
-    score = F.when(F.col("__lettered"), F.col("__judged.score")).otherwise(0.0)
+    judged, has_letter = free_name(df, "judged"), free_name(df, "lettered")
+    out = df.select(*keep, judge(F.col(text)).alias(judged), lettered.alias(has_letter))
+    lang = F.when(F.col(has_letter), F.col(f"{judged}.lang_pred")).otherwise(UNDETERMINED)
+    score = F.when(F.col(has_letter), F.col(f"{judged}.score")).otherwise(0.0)
     out = out.withColumns({"lang_pred": lang, "score": score})
     out = out.withColumn("rejected", (F.col("lang_pred") == UNDETERMINED) | (F.col("score") < model.reject_below))
-    return out.drop("__judged", "__lettered")
+    return out.drop(judged, has_letter)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

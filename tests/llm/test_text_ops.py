@@ -95,6 +95,35 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in language_id.predict(df, empty).collect()} == {"und"}
 
 
+def test_language_pieces_equal_whole_texts(monkeypatch):
+    rng = np.random.RandomState(1)
+    model = language_id.LanguageModel(["aa", "bb", "cc"], rng.rand(4096, 3), 1.0, 0.0)
+    texts = [None, "", "x" * 700, "ab cd " * 200, "é" * 500, "long word " + "q" * 301 + " end", "a"]
+    want = model.scores(pa.array(texts))
+    for size in (16, 64, 65):
+        monkeypatch.setattr(language_id, "BLOCK_BYTES", size)
+        assert np.allclose(model.scores(pa.array(texts)), want, atol=1e-12)
+
+
+def test_language_of_many_kinds_of_rows(spark):
+    """More than 256 languages, ids of text, null ids, repeated rows and texts without a space."""
+    rows = [(f"id{i}", f"w{i:03d}x " * 30, f"l{i:03d}") for i in range(300)] + [(None, "語" * 5000, "zz")] * 3 + [("id1", "w001x w001x", "l001")]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string").withColumns({"judged": F.lit(1), "LETTERED": F.lit(2)})
+    spans = language_id.training_spans(df, 10, 2, max_span_chars=50)
+    assert spans["lang"].nunique() == 301 and spans["span"].str.len().max() == 50
+    assert language_id.training_spans(df, 10, 2, max_languages=1)["lang"].unique().tolist() == ["zz"]
+    model = language_id.train(df, epochs=1, n_buckets=1 << 12)
+    assert len(model.languages) == 301
+    out = language_id.predict(df, model).collect()
+    assert len(out) == len(rows) and {r["judged"] for r in out} == {1} and len({(r["lang_pred"], r["score"]) for r in out if r["doc_id"] is None}) == 1
+
+
+def test_language_held_out_accuracy(spark):
+    got = language_id.op3_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
+    held = [r for r in got.where("held_out and lang is not null and lang_pred <> 'und'").collect()]
+    assert len(held) > 100 and np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.97
+
+
 def test_hmm_matches_enumeration():
     rng = np.random.RandomState(0)
     model = hmm_lm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3).T)
