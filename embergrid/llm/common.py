@@ -8,20 +8,20 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dirs: dict[str, str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir`` or the one that the context has; a temporary one only in local mode (tests)."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
-    if sc.applicationId not in _own_dirs:
-        path = "file://" + tempfile.mkdtemp(prefix="embergrid-")
-        sc.setCheckpointDir(path)
-        _own_dirs[sc.applicationId] = path
-    return _own_dirs[sc.applicationId]
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+    if not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    path = "file://" + tempfile.mkdtemp(prefix="embergrid-")
+    sc.setCheckpointDir(path)
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:

@@ -10,21 +10,30 @@ falling length and packed in runs of at most ``2 * shard_docs``, so a task's mem
 whatever the keys are, and the hot source or cluster spreads over all shards. Only slim columns
 are shuffled. A document longer than a bin fills whole bins of its own and its rest is packed.
 
-Defined results: a text's length is its words and one end token, null or empty texts have length
-1; a null source is no source and conflicts with none; equal texts are one cluster (SHA-256 of
-the text; null texts are none). Every row is placed; repeated rows are packed as often as they
-occur. The result does not depend on the partitions of the input.
+``pack`` takes any lengths and clusters. ``pack_documents`` counts words; without a ``clusters``
+table (doc_id, cluster), such as the components of the Jaccard join, equal texts are one cluster.
+``pack_tokens`` counts the ids of the token files' encoder and returns them with their places;
+``sequences`` joins the ids of a bin to one training sequence with its document bounds.
+
+Defined results: a text's length is its words (ids) and one end token, null or empty texts have
+length 1; a null source is no source and conflicts with none; a null cluster is none (null texts
+without a ``clusters`` table, documents that are not in one or have no id). Every row is placed;
+repeated rows are packed as often as they occur. The result of ``pack`` does not depend on the
+partitions of the input. Extra columns play no part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, small_batches, written
+from .token_files import END_ID, default_tokenizer, encoder
 
 CAPACITY = 2048
 SHARD_DOCS = 1024
@@ -119,10 +128,53 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOC
     return dealt.mapInPandas(run, PACKED)
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """Pack documents (doc_id, text, source) by the length of their texts."""
-    items = docs.select("doc_id", text_length(F.col("text")).alias("length"), F.col("source").cast("string").alias("source"), F.sha2("text", 256).alias("cluster"))
-    return pack(items, capacity, shard_docs)
+def _clustered(docs: DataFrame, clusters: DataFrame | None) -> DataFrame:
+    """``docs`` with a string column ``cluster``."""
+    if clusters is None:
+        return docs.withColumn("cluster", F.sha2("text", 256))
+    found = clusters.groupBy(F.col("doc_id").alias("d")).agg(F.min(F.col("cluster").cast("string")).alias("cluster"))
+    return docs.join(found, F.col("doc_id") == F.col("d"), "left").drop("d")
+
+
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS, clusters: DataFrame | None = None) -> DataFrame:
+    """Pack documents (doc_id, text, source) by the words of their texts."""
+    items = _clustered(docs.select("doc_id", "text", F.col("source").cast("string").alias("source")), clusters)
+    return pack(items.select("doc_id", text_length(F.col("text")).alias("length"), "source", "cluster"), capacity, shard_docs)
+
+
+def tokenised(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
+    """(row, doc_id, source, cluster, ids) of (doc_id, text, source, cluster), written; ``row`` numbers the rows."""
+    small_batches(docs.sparkSession, size="4m")
+    path = tokenizer or default_tokenizer()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        enc.forget()
+        for batch in batches:
+            ids, sizes = enc.encode(batch.column(3))
+            ids = np.insert(ids, np.cumsum(sizes), end_id).astype(np.int32)
+            offsets = np.concatenate([[0], np.cumsum(sizes + 1)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=["doc_id", "source", "cluster", "ids"])
+        enc.forget()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "cluster", "text").mapInArrow(run, "doc_id long, source string, cluster string, ids array<int>")
+    return written(rows.select(F.monotonically_increasing_id().alias("row"), "*"), "tokenised")
+
+
+def pack_tokens(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS, clusters: DataFrame | None = None, tokenizer: str | None = None) -> DataFrame:
+    """Pack documents (doc_id, text, source) by their token ids: (doc_id, piece, bin_id, start, n_tokens, ids)."""
+    texts = _clustered(docs.select("doc_id", "text", F.col("source").cast("string").alias("source")), clusters)
+    rows = tokenised(texts, tokenizer)
+    places = pack(rows.select(F.col("row").alias("doc_id"), F.size("ids").cast("long").alias("length"), "source", "cluster"), capacity, shard_docs)
+    placed = places.withColumnRenamed("doc_id", "row").join(rows.select("row", "doc_id", "ids"), "row")
+    return placed.select("doc_id", "piece", "bin_id", "start", "n_tokens", F.slice("ids", F.col("piece") * capacity + 1, F.col("n_tokens")).alias("ids"))
+
+
+def sequences(placed: DataFrame) -> DataFrame:
+    """A row for each bin of ``pack_tokens``: its ids, and in order the documents, pieces and starts in it."""
+    parts = F.array_sort(F.collect_list(F.struct("start", "doc_id", "piece", "ids"))).alias("p")
+    bins = placed.groupBy("bin_id").agg(parts)
+    return bins.select("bin_id", F.flatten(F.col("p.ids")).alias("ids"), F.col("p.doc_id").alias("doc_ids"), F.col("p.piece").alias("pieces"), F.col("p.start").alias("starts"))
 
 
 def op7_packing(spark, sf_dir: str) -> DataFrame:

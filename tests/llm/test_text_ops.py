@@ -298,6 +298,38 @@ def test_packing_against_brute_force(spark):
     assert packing.pack_documents(frame(spark, EDGE)).count() >= len(EDGE) and packing.pack_documents(frame(spark, [])).count() == 0
 
 
+def test_packed_tokens_decode_to_the_documents(spark):
+    from tokenizers import Tokenizer
+
+    texts = [*EDGE, *[f"some {'more ' * (i % 40)}words {i}" for i in range(80)]]
+    rows = [(i % 70, t, f"s{i % 30}") for i, t in enumerate(texts)] + [(None, "no id, no source", None)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"row": F.lit(1), "cluster": F.lit("same")}).repartition(3)
+    placed = packing.pack_tokens(df, 64, 32)
+    plain = Tokenizer.from_file(token_files.default_tokenizer())
+    got = collections.Counter()
+    for r in packing.sequences(placed).collect():
+        assert len(r["ids"]) <= 64 and len(r["doc_ids"]) == len(r["starts"]) == len(r["pieces"])
+        for k, (doc_id, start, piece) in enumerate(zip(r["doc_ids"], r["starts"], r["pieces"])):
+            end = [*r["starts"], len(r["ids"])][k + 1]
+            if end - start == 64 or piece:
+                continue
+            assert r["ids"][end - 1] == token_files.END_ID
+            got[doc_id, plain.decode(r["ids"][start : end - 1])] += 1
+    whole = collections.Counter((d, t or "") for d, t, _ in rows if len(plain.encode(t or "").ids) < 63)
+    assert got == whole and sum(r["n_tokens"] for r in placed.collect()) == sum(len(plain.encode(t or "").ids) + 1 for _, t, _ in rows)
+    assert all(len(r["ids"]) == r["n_tokens"] for r in placed.collect()) and packing.pack_tokens(df.where("false")).count() == 0
+
+
+def test_packing_keeps_given_clusters_apart(spark):
+    df = spark.createDataFrame([(i, f"text {i}", None) for i in range(40)], "doc_id long, text string, source string")
+    clusters = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(3, 1), (None, 1)], "doc_id long, cluster long")
+    rows = packing.pack_documents(df, 30, 100, clusters).collect()
+    held = collections.defaultdict(list)
+    for r in rows:
+        held[r["bin_id"]].append(r["doc_id"])
+    assert len(rows) == 40 and all(len({d % 2 for d in own if d < 30}) == sum(d < 30 for d in own) for own in held.values())
+
+
 def test_html_extract(spark):
     page = """<html><head><title>T</title><script>if (a < b) {}</script></head><body><nav><a>Menu</a></nav><div class="sidebar">side</div>
     <article><header>by me</header><h1>Head &amp; line</h1><p>First, a   paragraph<br>of text.<p>Second &#233;. <aside>no</aside> Done.</p>
