@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +52,22 @@ def discard(*tables: DataFrame | None) -> None:
             df._written_to = None
 
 
+def trimmed(run):
+    """``run``, a function from batches to batches, that gives freed memory back to the system when its task ends; workers live on."""
+
+    @functools.wraps(run)
+    def own(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+            if trim:
+                trim(0)
+
+    return own
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it, whatever the case."""
     taken = {c.lower() for c in df.columns}
@@ -65,7 +85,7 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+def small_batches(spark: SparkSession, rows: int = 500, size: str = "2m") -> None:
     """Bound the Arrow batches that Python workers get; whole texts make default batches large.
 
     A lower number of rows that the session sets stays.

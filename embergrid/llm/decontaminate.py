@@ -20,16 +20,19 @@ keys named item_id, distance or end are an error, as the result has columns of t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, written
+from .common import documents, small_batches, trimmed, written
 
 BUDGET = 0.08
 SHORT_CHARS = 20
 BLOCK_CHARS = 4_000_000
+FOUND = pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("end", pa.int32())])
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -176,10 +179,14 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
 
 
 def _udf(shared):
-    @F.pandas_udf("array<struct<item_id:bigint,distance:int,end:int>>")
-    def judge(texts: pd.Series) -> pd.Series:
-        matcher = shared.value
-        return texts.map(lambda t: [{"item_id": i, "distance": d, "end": e} for i, d, e in matcher.find(t)])
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            own = [[{"item_id": i, "distance": d, "end": e} for i, d, e in shared.value.find(t)] for t in texts.to_pylist()]
+            yield pa.array(own, pa.list_(FOUND))
+
+    @F.arrow_udf("array<struct<item_id:bigint,distance:int,end:int>>")
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from trimmed(found)(batches)
 
     return judge
 

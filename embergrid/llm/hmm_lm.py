@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fold, written
+from .common import documents, fold, trimmed, written
 from .wordhash import batch_words
 
 END, OTHER = 0, 1
@@ -81,7 +81,7 @@ def word_counts(train: DataFrame) -> DataFrame:
             h, n = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-    return written(train.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
+    return written(train.select("text").mapInArrow(trimmed(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
 
 
 def frequent_words(counts: DataFrame, ends: int, head: int, symbols: int) -> Words:
@@ -226,7 +226,7 @@ def baum_welch_pass(train: DataFrame, words: Words, model: Model) -> tuple[Model
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *[pa.array(values[:, j]) for j in range(k)]], names=["key", *[f"c{j}" for j in range(k)]])
 
     schema = "key long, " + ", ".join(f"c{j} double" for j in range(k))
-    summed = train.select("text").mapInArrow(run, schema).groupBy("key").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(k)]).toArrow()
+    summed = train.select("text").mapInArrow(trimmed(run), schema).groupBy("key").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(k)]).toArrow()
     keys = summed.column("key").to_numpy()
     values = np.stack([summed.column(f"c{j}").to_numpy() for j in range(k)], axis=1) if len(keys) else np.zeros((0, k))
     by = dict(zip(keys.tolist(), values))
@@ -319,7 +319,7 @@ def score(docs: DataFrame, counts: DataFrame, words: Words, model: Model, keys:
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keys))], pa.array(row + np.arange(n)), pa.array(tokens), pa.array(known), pa.array(base), pa.array(total), *lists], names=[*keys, "row", "n_tokens", "n_known", "base", "score", "rare", "times"])
             row += n
 
-    scored = written(docs.select(*keys, text).mapInArrow(run, schema), "scored")
+    scored = written(docs.select(*keys, text).mapInArrow(trimmed(run), schema), "scored")
     least = int(words.counts.min()) if len(words.counts) else 0
     tail = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("k"))
     seen = tail.join(counts.where(F.col("n") <= least), "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))

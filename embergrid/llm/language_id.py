@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fold, free_name, small_batches
+from .common import documents, fold, free_name, small_batches, trimmed
 from .wordhash import TABLE, blocks, buffers, mix
 
 UNDETERMINED = "und"
@@ -148,7 +148,7 @@ def training_spans(df: DataFrame, max_docs_per_lang: int, spans: int, max_langua
                     rows.append((lang, span[at : at + max_span_chars], own % 4, own, i))
             yield pd.DataFrame(rows, columns=["lang", "span", "part", "own", "i"])
 
-    out = chosen.select("text", "lang", "seed").mapInPandas(cut, "lang string, span string, part int, own long, i int").toPandas()
+    out = chosen.select("text", "lang", "seed").mapInPandas(trimmed(cut), "lang string, span string, part int, own long, i int").toPandas()
     out = out.sort_values(["lang", "own", "i", "span"], kind="stable")
     return out.groupby("lang", sort=True).head(max_docs_per_lang * spans)[["lang", "span", "part"]].reset_index(drop=True)
 
@@ -215,14 +215,17 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
     shared = df.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in df.columns if c not in ("lang_pred", "score", "rejected")]
 
-    @F.pandas_udf("lang_pred string, score double")
-    def judge(texts: pd.Series) -> pd.DataFrame:
+    def judged_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        if not m.languages:
-            return pd.DataFrame({"lang_pred": [UNDETERMINED] * len(texts), "score": [0.0] * len(texts)})
-        p = m.scores(pa.array(texts, type=pa.large_string(), from_pandas=True))
-        best = p.argmax(axis=1)
-        return pd.DataFrame({"lang_pred": np.array(m.languages, dtype=object)[best], "score": p[np.arange(len(p)), best]})
+        for texts in batches:
+            p = m.scores(texts) if m.languages else np.zeros((len(texts), 1))
+            best = p.argmax(axis=1)
+            names = np.array(m.languages or [UNDETERMINED], dtype=object)[best]
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(p[np.arange(len(p)), best])], ["lang_pred", "score"])
+
+    @F.arrow_udf("lang_pred string, score double")
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from trimmed(judged_texts)(batches)
 
     lettered = F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}")
     judged, has_letter = free_name(df, "judged"), free_name(df, "lettered")

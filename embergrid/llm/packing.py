@@ -27,12 +27,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, written
+from .common import documents, small_batches, trimmed, written
 from .token_files import END_ID, default_tokenizer, encoder
 
 CAPACITY = 2048
@@ -96,36 +95,33 @@ def pack_items(items: list[tuple[int, int, object, object]], capacity: int) -> l
 
 def pack(items: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Pack rows (doc_id long, length long, source string, cluster string)."""
-    items = items.select("doc_id", "length", "source", "cluster")
+    items = items.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("length").cast("long").alias("length"), "source", "cluster")
     shards = max(1, -(-items.count() // shard_docs))
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "length", "source", "cluster"), F.lit(shards)).cast("long"))
     dealt = dealt.repartition("shard").sortWithinPartitions("shard", F.desc("length"), "doc_id", "source", "cluster")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, own, first = None, [], 0
 
-        def flush() -> tuple[pd.DataFrame, int]:
-            packed = pd.DataFrame(pack_items(own, capacity), columns=["doc_id", "piece", "bin_id", "start", "n_tokens"])
-            packed["doc_id"] = packed["doc_id"].astype("Int64")
-            used = int(packed["bin_id"].max()) + 1
-            packed["bin_id"] += (shard << 32) + first
+        def flush() -> tuple[pa.RecordBatch, int]:
+            doc_id, piece, bins, start, size = zip(*pack_items(own, capacity))
             own.clear()
-            return packed, used
+            numbers = [pa.array(piece, pa.int32()), pa.array(np.array(bins) + (shard << 32) + first), pa.array(start, pa.int32()), pa.array(size, pa.int32())]
+            return pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), *numbers], names=["doc_id", "piece", "bin_id", "start", "n_tokens"]), max(bins) + 1
 
         for batch in batches:
-            rows = zip(*[batch[c].astype(object).where(batch[c].notna(), None) for c in ("doc_id", "length", "source", "cluster", "shard")])
-            for doc_id, length, source, cluster, s in rows:
+            for doc_id, length, source, cluster, s in zip(*[batch.column(k).to_pylist() for k in range(5)]):
                 if own and (s != shard or len(own) >= 2 * shard_docs):
                     packed, used = flush()
                     yield packed
                     first += used
                 if s != shard:
                     shard, first = s, 0
-                own.append((None if doc_id is None else int(doc_id), int(length), source, cluster))
+                own.append((doc_id, length, source, cluster))
         if own:
             yield flush()[0]
 
-    return dealt.mapInPandas(run, PACKED)
+    return dealt.mapInArrow(trimmed(run), PACKED)
 
 
 def _clustered(docs: DataFrame, clusters: DataFrame | None) -> DataFrame:
@@ -144,7 +140,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int =
 
 def tokenised(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """(row, doc_id, source, cluster, ids) of (doc_id, text, source, cluster), written; ``row`` numbers the rows."""
-    small_batches(docs.sparkSession, size="4m")
+    small_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +153,7 @@ def tokenised(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_I
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=["doc_id", "source", "cluster", "ids"])
         enc.forget()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "cluster", "text").mapInArrow(run, "doc_id long, source string, cluster string, ids array<int>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "cluster", "text").mapInArrow(trimmed(run), "doc_id long, source string, cluster string, ids array<int>")
     return written(rows.select(F.monotonically_increasing_id().alias("row"), "*"), "tokenised")
 
 

@@ -34,7 +34,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, new_path, small_batches, written
+from .common import documents, new_path, small_batches, trimmed, written
 
 END_ID = 2
 MAGIC = b"EMBRTOK2"
@@ -171,7 +171,7 @@ def _put(fs: pafs.FileSystem, path: str, chunks) -> None:
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, part_docs: int = PART_DOCS, special_as_text: bool = False) -> DataFrame:
     """Encode (doc_id, text) into ``folder``; gives the manifest (part, docs, tokens, first_doc, base), which lies beside the files."""
     spark = docs.sparkSession
-    small_batches(spark, size="4m")
+    small_batches(spark)
     tokenizer = tokenizer or default_tokenizer()
     fs, root = _filesystem(folder)
     fs.create_dir(root, recursive=True)
@@ -205,7 +205,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         _put(fs, f"{name}.idx", [MAGIC, np.array([enc.dtype.itemsize, docs], dtype="<i8").tobytes(), *[k.astype("<i8").tobytes() for k in keys], offsets.tobytes(), *[x.tobytes() for x in nulls]])
         yield pa.RecordBatch.from_pydict({"part": [part], "docs": [docs], "tokens": [int(offsets[-1])]}, schema=pa.schema([("part", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
-    rows = written(ordered.mapInArrow(run, "part int, docs long, tokens long"), "parts")
+    rows = written(ordered.mapInArrow(trimmed(run), "part int, docs long, tokens long"), "parts")
     path = f"{folder}/manifest"
     with_bases(rows).write.parquet(path)
     return spark.read.parquet(path)
@@ -255,7 +255,7 @@ def read_tokens(folder: str, manifest: DataFrame) -> DataFrame:
 
     # a part is a task's work
     tasks = max(1, manifest.count())
-    return manifest.select("part", "base").repartition(tasks, "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("part", "base").repartition(tasks, "part").mapInArrow(trimmed(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op6_token_files(spark, sf_dir: str) -> DataFrame:
