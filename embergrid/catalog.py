@@ -1,7 +1,8 @@
 """All queries of the library by name, and the SQL that DuckDB holds them against.
 
 The tables stand for networks: suppliers are physical nodes, customers virtual nodes, line items
-of quantity 50 links between suppliers and parts (weight: the line number), orders requests.
+links between suppliers and parts (weight: the least line number), orders requests. All queries take
+whole tables.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def physical(spark, d) -> DataFrame:
 
 
 def network_links(spark, d) -> DataFrame:
-    li = table(spark, d, "lineitem").where("l_quantity = 50")
+    li = table(spark, d, "lineitem")
     return li.groupBy(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + PART0).alias("dst")).agg(F.min("l_linenumber").cast("long").alias("w"), F.count("*").alias("bw"))
 
 
@@ -54,7 +55,7 @@ def network_nodes(spark, d) -> DataFrame:
 
 
 PHYSICAL_SQL = "p AS (SELECT s_suppkey AS id, floor(s_acctbal)::BIGINT + 2000 AS cpu, s_nationkey::BIGINT * 100 AS ram, s_nationkey AS nation FROM supplier)"
-LINKS_SQL = f"e AS (SELECT l_suppkey AS src, l_partkey + {PART0} AS dst, min(l_linenumber)::BIGINT AS w, count(*) AS bw FROM lineitem WHERE l_quantity = 50 GROUP BY ALL), a AS (SELECT src, dst, w, bw FROM e UNION ALL SELECT dst, src, w, bw FROM e), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e)"
+LINKS_SQL = f"e AS (SELECT l_suppkey AS src, l_partkey + {PART0} AS dst, min(l_linenumber)::BIGINT AS w, count(*) AS bw FROM lineitem GROUP BY ALL), a AS (SELECT src, dst, w, bw FROM e UNION ALL SELECT dst, src, w, bw FROM e), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e)"
 
 
 @query(
@@ -156,12 +157,17 @@ def _power(rounds: int, step: str) -> str:
     return ", ".join(f"r{k} AS ({step.format(p=f'r{k - 1}')})" for k in range(1, rounds + 1))
 
 
-_GRC = "SELECT c.id, 0.15 * c.c + 0.85 * coalesce(f.f, 0) AS r FROM c LEFT JOIN (SELECT m.dst AS id, sum(q.r * m.m) AS f FROM m JOIN {p} q ON q.id = m.src GROUP BY m.dst) f ON f.id = c.id"
+@query("rank_grc")
+def rank_grc(spark, d):
+    return K.rank_grc(_graph_nodes(spark, d), network_links(spark, d), ["cpu"], "bw")
+
 
+_RW = "SELECT c.id, 0.15 * c.b + 0.85 * coalesce(f.f, 0) AS r FROM c LEFT JOIN (SELECT m.dst AS id, sum(q.r * m.m) AS f FROM m JOIN {p} q ON q.id = m.src GROUP BY m.dst) f ON f.id = c.id"
 
-@query("rank_grc", f"WITH {LINKS_SQL}, c AS (SELECT id, (id % 50 + 50)::DOUBLE / (SELECT sum(id % 50 + 50) FROM n) AS c FROM n), m AS (SELECT src, dst, bw::DOUBLE / sum(bw) OVER (PARTITION BY src) AS m FROM a), r0 AS (SELECT id, c AS r FROM c), {_power(3, _GRC)} SELECT id, round(r, 12) AS score FROM r3")
-def rank_grc(spark, d):
-    return K.rank_grc(_graph_nodes(spark, d), network_links(spark, d), ["cpu"], "bw", rounds=3).select("id", F.round("score", 12).alias("score"))
+
+@query("rank_rw", f"WITH {LINKS_SQL}, u AS (SELECT src AS id, (src % 50 + 50) * sum(bw)::DOUBLE + 1e-9 AS b FROM a GROUP BY src), c AS (SELECT id, b / (SELECT sum(b) FROM u) AS b FROM u), m AS (SELECT src, dst, (dst % 50 + 50)::DOUBLE / sum(dst % 50 + 50) OVER (PARTITION BY src) AS m FROM (SELECT DISTINCT src, dst FROM a)), r0 AS (SELECT id, b AS r FROM c), {_power(10, _RW)} SELECT id, round(r, 10) AS score FROM r10")
+def rank_rw(spark, d):
+    return K.rank_rw(_graph_nodes(spark, d), network_links(spark, d), ["cpu"], "bw").select("id", F.round("score", 10).alias("score"))
 
 
 @query("top_parts_per_brand", "SELECT p_brand, p_partkey, r AS rank FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey)::INT AS r FROM part) WHERE r <= 3")
@@ -175,7 +181,7 @@ def first_feasible_supplier(spark, d):
     return K.first_feasible(pairs, ["c_custkey"], R.satisfied(F.col("c_acctbal"), F.col("cpu").cast("double")), "id", "id")
 
 
-_BFS = f"WITH RECURSIVE {LINKS_SQL}, b(id, d) AS (SELECT min(src), 0 FROM e UNION SELECT a.dst, b.d + 1 FROM b JOIN a ON a.src = b.id WHERE b.d < 14), s AS (SELECT id, min(d) AS d FROM b GROUP BY id)"
+_BFS = f"WITH RECURSIVE {LINKS_SQL}, s(id, d) USING KEY (id) AS (SELECT min(src), 0 FROM e UNION SELECT a.dst, min(s.d + 1) FROM s JOIN a ON a.src = s.id LEFT JOIN recurring.s r ON r.id = a.dst WHERE r.id IS NULL GROUP BY a.dst)"
 
 
 @query("bfs", f"{_BFS} SELECT id, d AS distance FROM s")
@@ -190,67 +196,86 @@ def bfs_stats(spark, d):
     return G.bfs_stats(G.bfs(links, links.agg(F.min("src").alias("id")))).select("total", "reached")
 
 
-@query("shortest_paths", f"WITH RECURSIVE {LINKS_SQL}, b(id, d) AS (SELECT min(src), 0 FROM e UNION SELECT a.dst, b.d + a.w FROM b JOIN a ON a.src = b.id WHERE b.d + a.w <= 12) SELECT id, min(d)::DOUBLE AS distance FROM b GROUP BY id")
+@query("tree_levels", f"{_BFS} SELECT d AS distance, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM s GROUP BY d")
+def tree_levels(spark, d):
+    links = network_links(spark, d)
+    return G.tree_levels(G.bfs(links, links.agg(F.min("src").alias("id")))).select("distance", F.concat_ws(",", F.col("ids").cast("array<string>")).alias("ids"))
+
+
+@query("shortest_paths", f"WITH RECURSIVE {LINKS_SQL}, b(id, d) USING KEY (id) AS (SELECT min(src), 0::BIGINT FROM e UNION SELECT a.dst, min(b.d + a.w) FROM b JOIN a ON a.src = b.id LEFT JOIN recurring.b r ON r.id = a.dst WHERE r.id IS NULL OR b.d + a.w < r.d GROUP BY a.dst), t AS (SELECT a.dst AS id, min(a.src) AS via FROM b JOIN a ON a.src = b.id JOIN b x ON x.id = a.dst WHERE b.d + a.w = x.d GROUP BY a.dst) SELECT b.id, b.d::DOUBLE AS distance, CASE WHEN b.id <> (SELECT min(src) FROM e) THEN via ELSE -1 END AS via FROM b LEFT JOIN t ON t.id = b.id")
 def shortest_paths(spark, d):
     links = network_links(spark, d)
-    return G.shortest_paths(links, links.agg(F.min("src").alias("id")), "w", cutoff=12).select("id", "distance")
+    return G.shortest_paths(links, links.agg(F.min("src").alias("id")), "w").select("id", "distance", F.coalesce("via", F.lit(-1)).alias("via"))
 
 
-@query("components", f"WITH RECURSIVE {LINKS_SQL}, b(id, root) AS (SELECT id, id FROM n UNION SELECT a.dst, b.root FROM b JOIN a ON a.src = b.id WHERE b.root < a.dst) SELECT id, min(root) AS component FROM b GROUP BY id")
+@query("components", f"WITH RECURSIVE {LINKS_SQL}, b(id, root) USING KEY (id) AS (SELECT id, id FROM n UNION SELECT a.dst, min(b.root) FROM b JOIN a ON a.src = b.id JOIN recurring.b r ON r.id = a.dst WHERE b.root < r.root GROUP BY a.dst) SELECT id, root AS component FROM b")
 def components(spark, d):
     return G.connected_components(network_nodes(spark, d), network_links(spark, d))
 
 
+@query("rank_nps", f"{_BFS}, k AS (SELECT src AS id, (src % 50 + 50) * sum(bw)::DOUBLE AS k FROM a GROUP BY src) SELECT id, (1 - row_number() OVER (ORDER BY d, k DESC, id))::DOUBLE AS score FROM s JOIN k USING (id)")
+def rank_nps(spark, d):
+    nodes, links = _graph_nodes(spark, d), network_links(spark, d)
+    return K.rank_nps(nodes, links, K.rank_nrm(nodes, links, ["cpu"], ["bw"]), G.bfs(links, links.agg(F.min("src").alias("id"))))
+
+
 @query("degree_centrality", f"WITH {LINKS_SQL} SELECT src AS id, round(count(*)::DOUBLE / ((SELECT count(*) FROM n) - 1), 9) AS score FROM a GROUP BY src")
 def degree_centrality(spark, d):
     return G.degree_centrality(network_nodes(spark, d), network_links(spark, d)).withColumn("score", F.round("score", 9))
 
 
-def _nation_graph(spark, d, whole: bool = False):
-    """Nations linked along trade: customers' and suppliers' nations of all lines, or of those that _NATIONS keeps."""
-    li = table(spark, d, "lineitem").where("true" if whole else "l_quantity >= 49 and l_linenumber = 1").select("l_orderkey", "l_suppkey")
+def _nation_graph(spark, d):
+    """Nations linked along trade: customers' and suppliers' nations of all lines."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
     o = li.join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("a"))
     s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("b"))
-    pairs = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).where("a <> b" if whole else "a <> b and (a + b) % 3 = 0")
+    pairs = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).where("a <> b")
     return pairs.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.count("*").alias("w"))
 
 
-_NATIONS = "e AS (SELECT least(c_nationkey, s_nationkey)::BIGINT AS src, greatest(c_nationkey, s_nationkey)::BIGINT AS dst, count(*) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 49 AND l_linenumber = 1 AND c_nationkey <> s_nationkey AND (c_nationkey + s_nationkey) % 3 = 0 GROUP BY ALL), a AS (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e)"
+_NATIONS = "e AS (SELECT least(c_nationkey, s_nationkey)::BIGINT AS src, greatest(c_nationkey, s_nationkey)::BIGINT AS dst, count(*) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL), a AS (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e)"
+_HOPS = f"WITH RECURSIVE {_NATIONS}, m(s, id, d) USING KEY (s, id) AS (SELECT id, id, 0 FROM n UNION SELECT m.s, a.dst, min(m.d + 1) FROM m JOIN a ON a.src = m.id LEFT JOIN recurring.m r ON r.s = m.s AND r.id = a.dst WHERE r.id IS NULL GROUP BY m.s, a.dst)"
+_COUNTS = f"{_HOPS}, c(s, id, d, p) AS (SELECT id, id, 0, 1::BIGINT FROM n UNION ALL SELECT c.s, a.dst, c.d + 1, sum(c.p)::BIGINT FROM c JOIN a ON a.src = c.id JOIN m ON m.s = c.s AND m.id = a.dst AND m.d = c.d + 1 GROUP BY c.s, a.dst, c.d)"
 
 
 def _ids(links):
     return links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
 
 
-@query("closeness_centrality", f"WITH RECURSIVE {_NATIONS}, b(s, id, d) AS (SELECT id, id, 0 FROM n UNION SELECT b.s, a.dst, b.d + 1 FROM b JOIN a ON a.src = b.id WHERE b.d < 10), m AS (SELECT s, id, min(d) AS d FROM b GROUP BY ALL) SELECT s AS id, round((count(*) - 1) / sum(d) * (count(*) - 1) / ((SELECT count(*) FROM n) - 1), 9) AS score FROM m GROUP BY s")
+@query("closeness_centrality", f"{_HOPS} SELECT s AS id, round((count(*) - 1) / sum(d) * (count(*) - 1) / ((SELECT count(*) FROM n) - 1), 9) AS score FROM m GROUP BY s")
 def closeness_centrality(spark, d):
     links = G.saved(_nation_graph(spark, d))
     return G.closeness_centrality(_ids(links), links).withColumn("score", F.round("score", 9))
 
 
-@query("all_pairs_lengths", f"WITH RECURSIVE {_NATIONS}, b(s, id, d) AS (SELECT id, id, 0 FROM n UNION SELECT b.s, a.dst, b.d + 1 FROM b JOIN a ON a.src = b.id WHERE b.d < 10) SELECT s AS src, id AS dst, min(d)::DOUBLE AS distance FROM b GROUP BY ALL")
+@query("all_pairs_lengths", f"WITH RECURSIVE {_NATIONS}, m(s, id, d) USING KEY (s, id) AS (SELECT id, id, 0::BIGINT FROM n UNION SELECT m.s, a.dst, min(m.d + a.w) FROM m JOIN a ON a.src = m.id LEFT JOIN recurring.m r ON r.s = m.s AND r.id = a.dst WHERE r.id IS NULL OR m.d + a.w < r.d GROUP BY m.s, a.dst) SELECT s AS src, id AS dst, d::DOUBLE AS distance FROM m")
 def all_pairs_lengths(spark, d):
+    """Distances weighted by trade."""
     links = G.saved(_nation_graph(spark, d))
-    return G.all_pairs_lengths(_ids(links), links)
+    return G.all_pairs_lengths(_ids(links), links, "w")
 
 
-@query("path_counts", f"WITH RECURSIVE {_NATIONS}, b(s, path) AS (SELECT id, [id] FROM n UNION ALL SELECT b.s, list_append(path, a.dst) FROM b JOIN a ON a.src = path[-1] WHERE len(path) < 5 AND NOT list_contains(path, a.dst)), m AS (SELECT s, path[-1] AS id, len(path) - 1 AS d FROM b), q AS (SELECT s, id, min(d) AS d FROM m GROUP BY ALL) SELECT q.s AS source, q.id, q.d::INT AS distance, count(*) AS paths FROM q JOIN m ON q.s = m.s AND q.id = m.id AND q.d = m.d GROUP BY ALL")
+@query("path_counts", f"{_COUNTS} SELECT s AS source, id, d::INT AS distance, p AS paths FROM c")
 def path_counts(spark, d):
     links = G.saved(_nation_graph(spark, d))
-    return G.path_counts(links, G.bfs(links, _ids(links), cutoff=4))
+    return G.path_counts(links, G.bfs(links, _ids(links)))
 
 
-@query("betweenness_centrality")
+@query("betweenness_centrality", f"{_COUNTS}, q AS (SELECT x.id, sum(x.p * y.p / t.p::DOUBLE) AS b FROM c x JOIN c y ON y.s = x.id JOIN c t ON t.s = x.s AND t.id = y.id AND t.d = x.d + y.d WHERE x.s <> x.id AND y.id <> x.id AND x.s <> y.id GROUP BY x.id) SELECT n.id, round(coalesce(b, 0) / greatest(((SELECT count(*) FROM n) - 1) * ((SELECT count(*) FROM n) - 2), 1), 9) AS score FROM n LEFT JOIN q ON q.id = n.id")
 def betweenness_centrality(spark, d):
-    links = G.saved(_nation_graph(spark, d, whole=True))
-    return G.betweenness_centrality(_ids(links), links)
+    links = G.saved(_nation_graph(spark, d))
+    return G.betweenness_centrality(_ids(links), links).withColumn("score", F.round("score", 9))
+
 
+_EIGEN = "SELECT id, y / sqrt(sum(y * y) OVER ()) AS x FROM (SELECT q.id, q.x + coalesce(f.f, 0) AS y FROM {p} q LEFT JOIN (SELECT a.dst AS id, sum(z.x) AS f FROM a JOIN {p} z ON z.id = a.src GROUP BY a.dst) f ON f.id = q.id)"
 
-@query("eigenvector_centrality")
+
+@query("eigenvector_centrality", f"WITH {_NATIONS}, r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM n) AS x FROM n), {_power(30, _EIGEN)} SELECT id, round(x, 9) AS score FROM r30")
 def eigenvector_centrality(spark, d):
-    links = G.saved(_nation_graph(spark, d, whole=True))
-    return G.eigenvector_centrality(_ids(links), links, rounds=30)
+    """Thirty rounds of power iteration."""
+    links = G.saved(_nation_graph(spark, d))
+    return G.eigenvector_centrality(_ids(links), links, rounds=30, tolerance=0.0).withColumn("score", F.round("score", 9))
 
 
 def _requests(spark, d):
@@ -371,3 +396,6 @@ def simulate_windows(spark, d):
     sub, nested = _simulation(spark)
     runs = spark.createDataFrame([(0, "nrm_rank", 0)], "run_id long, solver string, seed int")
     return C.window_summary(S.online_runs(spark, sub, nested, runs, ["cpu"], ["bw"]), 0.0, 50.0)
+
+
+from . import catalog_state  # noqa: E402, F401  its queries join this catalog

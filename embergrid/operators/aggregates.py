@@ -68,6 +68,18 @@ def attribute_benchmarks(table: DataFrame, names: Sequence[str]) -> DataFrame:
     return wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("maximum")) for n in names])).alias("x")).select("x.*")
 
 
+def attribute_extrema(table: DataFrame, pairs: dict[str, str]) -> DataFrame:
+    """Maximum by the initial capacities: a row for each attribute whose copy of initial values, its extremum, is named."""
+    wide = table.agg(*[F.max(F.col(extremum).cast("float")).alias(n) for n, extremum in pairs.items()])
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("maximum")) for n in pairs])).alias("x")).select("x.*")
+
+
+def network_size(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """One row: num_nodes and num_edges."""
+    counts = nodes.select(F.lit(1).alias("n"), F.lit(0).alias("e")).unionAll(links.select(F.lit(0), F.lit(1)))
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("num_nodes"), F.coalesce(F.sum("e"), F.lit(0)).alias("num_edges"))
+
+
 def pooled_offsets(checks: DataFrame, keys: Sequence[str], offset: str = "offset") -> DataFrame:
     """Per key the largest offset and the sum of the positive ones."""
     return checks.groupBy(*keys).agg(F.max(offset).alias("max_offset"), F.sum(F.greatest(F.col(offset), F.lit(0))).alias("violation"))

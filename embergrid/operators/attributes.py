@@ -63,6 +63,57 @@ def incident(links: DataFrame, vertices: Sequence[int], how: str = "any") -> Dat
     return links.where({"any": at_src | at_dst, "out": at_src, "in": at_dst}[how])
 
 
+def edges_between(links: DataFrame, pairs: DataFrame, directed: bool = False) -> DataFrame:
+    """``pairs`` (src, dst) with the attributes of their links; a pair without a link has nulls."""
+    arcs = links if directed else closure(links)
+    return pairs.join(arcs, ["src", "dst"], "left")
+
+
+def has_edge(links: DataFrame, u: int, v: int, directed: bool = False) -> bool:
+    arcs = links if directed else closure(links)
+    return not arcs.where((F.col("src") == u) & (F.col("dst") == v)).isEmpty()
+
+
+def edge_by_id(links: DataFrame, eid: int) -> dict:
+    """A link by its id; an unknown id is an error."""
+    row = links.where(F.col("eid") == eid).first()
+    if row is None:
+        raise KeyError(f"no link {eid}")
+    return row.asDict()
+
+
+def endpoints(links: DataFrame, eid: int) -> tuple[int, int]:
+    row = edge_by_id(links, eid)
+    return row["src"], row["dst"]
+
+
+def add_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """``nodes`` and those of ``new`` whose ids are not there yet."""
+    return nodes.unionByName(new.join(nodes.select("id"), "id", "left_anti"), allowMissingColumns=True)
+
+
+def add_edges(links: DataFrame, new: DataFrame, directed: bool = False) -> DataFrame:
+    """``links`` and the new ones under the next ids; a link that is there already is kept as it is."""
+    ends = [F.col("src"), F.col("dst")] if directed else [F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")]
+    rest = [c for c in new.columns if c not in ("src", "dst", "eid")]
+    fresh = new.select(*ends, *rest).dropDuplicates(["src", "dst"]).join(links.select(*ends), ["src", "dst"], "left_anti")
+    first = (links.agg(F.max("eid")).first()[0] or -1) + 1 if "eid" in links.columns and not links.isEmpty() else 0
+    return links.unionByName(with_position(fresh, [F.col("src"), F.col("dst")], "eid", first), allowMissingColumns=True)
+
+
+def remove_edges(links: DataFrame, gone: DataFrame, directed: bool = False) -> DataFrame:
+    """``links`` without those between the pairs (src, dst) of ``gone``; ids stay."""
+    pairs = (gone.select("src", "dst") if directed else closure(gone.select("src", "dst"))).distinct()
+    return links.join(pairs, ["src", "dst"], "left_anti").select(*links.columns)
+
+
+def remove_nodes(nodes: DataFrame, links: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes without ``gone`` (id), and the links between those that stay."""
+    kept = nodes.join(gone.select("id"), "id", "left_anti").select(*nodes.columns)
+    out = links.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti")
+    return kept, out.select(*links.columns)
+
+
 def adjacency_lists(links: DataFrame, order: str = "dst", directed: bool = False) -> DataFrame:
     arcs = links if directed else closure(links)
     return arcs.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "dst"))), lambda x: x["dst"]).alias("neighbours"))

@@ -87,19 +87,30 @@ def path_counts(links: DataFrame, distances: DataFrame, directed: bool = False)
 def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, component): the smallest id of each weakly connected component.
 
-    Each round every node takes its neighbourhood's least label, then the label's own label.
+    Vertices hook to their smallest neighbour below, pointers are halved twice, and the links are
+    rewritten between the labels, so they shrink from round to round.
     """
-    arcs = saved(arcs_of(links))
-    labels = saved(nodes.select("id", F.col("id").alias("component")).distinct())
-    while True:
-        near = arcs.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("m"))
-        low = labels.join(near, "id", "left").select("id", "component", F.least("component", F.coalesce("m", "component")).alias("n"))
-        up = labels.select(F.col("id").alias("n"), F.col("component").alias("c"))
-        new = saved(low.join(up, "n", "left").select("id", "component", F.least("n", F.coalesce("c", "n")).alias("n")))
-        moved = not new.where("n <> component").isEmpty()
-        labels = new.select("id", F.col("n").alias("component"))
-        if not moved:
-            return labels
+    edges = saved(links.where("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct())
+    labels = None
+    while not edges.isEmpty():
+        both = edges.union(edges.select("v", "u"))
+        hook = saved(both.groupBy("u").agg(F.least("u", F.min("v")).alias("p")))
+        for _ in range(2):
+            up = hook.select(F.col("u").alias("p"), F.col("p").alias("pp"))
+            hook = hook.join(up, "p").select("u", F.col("pp").alias("p"))
+        hook = saved(hook)
+        if labels is None:
+            labels = hook.select(F.col("u").alias("id"), F.col("p").alias("component"))
+        else:
+            labels = labels.join(hook, F.col("component") == F.col("u"), "left").select("id", F.coalesce("p", "component").alias("component"))
+        labels = saved(labels)
+        at_u = edges.join(hook, "u").select("v", F.col("p").alias("a"))
+        at_v = at_u.join(hook, F.col("v") == F.col("u")).select("a", F.col("p").alias("b")).where("a <> b")
+        edges = saved(at_v.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    ids = nodes.select("id").distinct()
+    if labels is None:
+        return ids.select("id", F.col("id").alias("component"))
+    return ids.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def is_connected(nodes: DataFrame, links: DataFrame) -> bool:

@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import degree, link_aggregate
-from .attributes import closure
+from .attributes import closure, with_position
 from .storage import saved
 
 
+MAX_DRAWN = 1_000_000
+
+
 def _total(names: Sequence[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.col(n) for n in names], F.lit(0))
 
@@ -23,8 +26,10 @@ def rank_order(nodes: DataFrame) -> DataFrame:
 
 
 def rank_random(nodes: DataFrame, rng: np.random.RandomState) -> DataFrame:
-    """Shuffled positions, exact with numpy's legacy stream (small networks: ids meet on the driver)."""
-    ids = sorted(r["id"] for r in nodes.select("id").collect())
+    """Shuffled positions, exact with numpy's legacy stream, whose draws are one sequence: ids meet on the driver, up to ``MAX_DRAWN``."""
+    ids = sorted(r["id"] for r in nodes.select("id").limit(MAX_DRAWN + 1).collect())
+    if len(ids) > MAX_DRAWN:
+        raise ValueError("too many nodes for one random stream; order by a hash instead")
     order = np.arange(len(ids))
     rng.shuffle(order)
     return nodes.sparkSession.createDataFrame([(i, float(s)) for i, s in zip(ids, order)], "id long, score double")
@@ -55,20 +60,14 @@ def rank_grc(nodes: DataFrame, links: DataFrame, resources: Sequence[str], bandw
     own = nodes.select("id", _total(resources).cast("double").alias("c"))
     total = own.agg(F.sum("c")).first()[0] or 1.0
     share = own.select("id", (F.col("c") / total).alias("c"))
-    arcs = _arcs(links, bandwidth).persist()
-    rank, done = share.select("id", F.col("c").alias("r")), False
-    for k in range(rounds):
-        flow = arcs.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("r") * F.col("m")).alias("f"))
-        new = share.join(flow, "id", "left").select("id", ((1 - damping) * F.col("c") + damping * F.coalesce("f", F.lit(0.0))).alias("n"))
-        both = new.join(rank, "id").select("id", "n", "r")
-        if k % 5 == 4:
-            both = saved(both)
-            done = (both.agg(F.sqrt(F.sum((F.col("n") - F.col("r")) ** 2))).first()[0] or 0.0) < tolerance
-        rank = both.select("id", F.col("n").alias("r"))
-        if done:
+    arcs = saved(_arcs(links, bandwidth))
+    state = saved(share.select("id", "c", F.col("c").alias("r"), F.lit(0.0).alias("was")))
+    for k in range(rounds):  # a round's state is read twice by the next, so each is saved
+        flow = arcs.join(state.select(F.col("id").alias("src"), "r"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("r") * F.col("m")).alias("f"))
+        state = saved(state.join(flow, "id", "left").select("id", "c", ((1 - damping) * F.col("c") + damping * F.coalesce("f", F.lit(0.0))).alias("r"), F.col("r").alias("was")))
+        if k % 5 == 4 and (state.agg(F.sqrt(F.sum((F.col("r") - F.col("was")) ** 2))).first()[0] or 0.0) < tolerance:
             break
-    arcs.unpersist()
-    return rank.select("id", F.col("r").alias("score"))
+    return state.select("id", F.col("r").alias("score"))
 
 
 def rank_rw(nodes: DataFrame, links: DataFrame, resources: Sequence[str], bandwidth: str, rounds: int = 10) -> DataFrame:
@@ -77,9 +76,11 @@ def rank_rw(nodes: DataFrame, links: DataFrame, resources: Sequence[str], bandwi
     flows = link_aggregate(nodes, links, bandwidth, "sum", n=1)
     base = own.join(flows, "id").select("id", "c", (F.col("c") * F.col("value") + 1e-9).alias("b"))
     total = base.agg(F.sum("b")).first()[0] or 1.0
-    base = base.select("id", "c", (F.col("b") / total).alias("b")).persist()
+    base = base.select("id", "c", (F.col("b") / total).alias("b"))
+    base = saved(base)
     arcs = closure(links).select("src", "dst").distinct().join(base.select(F.col("id").alias("dst"), F.col("c").alias("w")), "dst")
-    arcs = arcs.select("src", "dst", (F.col("w") / F.sum("w").over(Window.partitionBy("src"))).alias("m")).persist()
+    arcs = arcs.select("src", "dst", (F.col("w") / F.sum("w").over(Window.partitionBy("src"))).alias("m"))
+    arcs = saved(arcs)
     rank = base.select("id", F.col("b").alias("r"))
     for _ in range(rounds):
         flow = arcs.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("r") * F.col("m")).alias("f"))
@@ -88,8 +89,10 @@ def rank_rw(nodes: DataFrame, links: DataFrame, resources: Sequence[str], bandwi
 
 
 def rank_nps(nodes: DataFrame, links: DataFrame, nrm: DataFrame, distances: DataFrame) -> DataFrame:
-    """Reachable nodes by distance from the root, then by falling nrm; the score is the negated position."""
-    return distances.join(nrm, "id").select("id", F.struct((-F.col("distance")).alias("d"), F.col("score").alias("s")).alias("key")).orderBy(F.desc("key"), "id").select("id", F.col("key.d").cast("double").alias("score"))
+    """Reachable nodes by distance from the root, then by falling nrm, then by id; the score is the negated position."""
+    rows = distances.select("id", "distance").join(nrm.select("id", F.col("score").alias("k")), "id")
+    placed = with_position(rows, [F.col("distance").asc(), F.col("k").desc(), F.col("id").asc()], "at")
+    return placed.select("id", (-F.col("at")).cast("double").alias("score"))
 
 
 def rank_links(links: DataFrame, how: str, bandwidths: Sequence[str] = ()) -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder (a temporary one where none is set)."""
+    """Cut the lineage in the shared checkpoint folder (a temporary one in local mode where none is set)."""
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="embergrid-"))
     return df.checkpoint()

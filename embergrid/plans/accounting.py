@@ -66,6 +66,22 @@ def running_state(records: DataFrame, run: str = "run_id") -> DataFrame:
     })
 
 
+def running_membership(placements: DataFrame, run: str = "run_id") -> DataFrame:
+    """Physical nodes with a live request after every event of each run.
+
+    ``placements``: (run, event_id, p_node, step), step 1 for each node that an accepted arrival takes,
+    -1 where its leave frees it. Each node's own running sum tells where it turns live or idle; the turns
+    are then summed over the events, so only a run's events are one group.
+    """
+    steps = placements.groupBy(run, "p_node", "event_id").agg(F.sum("step").alias("step"))
+    own = Window.partitionBy(run, "p_node").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    held = F.sum("step").over(own)
+    turned = steps.withColumn("held", held).withColumn("turn", (F.col("held") > 0).cast("long") - (F.col("held") - F.col("step") > 0).cast("long"))
+    events = turned.groupBy(run, "event_id").agg(F.sum("turn").alias("turn"))
+    every = Window.partitionBy(run).orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return events.select(run, "event_id", F.sum("turn").over(every).alias("running_nodes"))
+
+
 def run_summary(state: DataFrame, run: str = "run_id") -> DataFrame:
     """One row for each run: rates from the last event, means over arrivals, extremes over all events."""
     arrival = F.col("event_type") == 1
