@@ -29,11 +29,21 @@ def load_records(spark, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(path)
 
 
+MAX_ROWS = 100_000
+
+
 def run_report(summary: DataFrame, windows: DataFrame | None = None, full: bool = False) -> str:
-    """A JSON report of one run's small tables: the summary, and with ``full`` its windows."""
-    out: dict = {"summary": [r.asDict(True) for r in summary.limit(10_000).collect()]}
+    """A JSON report of one run's small tables: the summary, and with ``full`` its windows. More than ``MAX_ROWS`` rows are an error."""
+
+    def rows(df: DataFrame) -> list[dict]:
+        found = df.limit(MAX_ROWS + 1).collect()
+        if len(found) > MAX_ROWS:
+            raise ValueError(f"more than {MAX_ROWS} rows in a report; write them as a table")
+        return [r.asDict(True) for r in found]
+
+    out: dict = {"summary": rows(summary)}
     if full and windows is not None:
-        out["windows"] = [r.asDict(True) for r in windows.orderBy("window").limit(1_000_000).collect()]
+        out["windows"] = rows(windows.orderBy("window"))
     return json.dumps(out, default=str, sort_keys=True)
 
 

@@ -29,10 +29,12 @@ def substrate(nodes: DataFrame, links: DataFrame, resources: Sequence[str], band
 
 
 def nested_requests(requests: DataFrame, v_nodes: DataFrame, v_links: DataFrame, resources: Sequence[str], bandwidths: Sequence[str]) -> DataFrame:
-    """A row for each request with its nodes and links as arrays."""
+    """A row for each request with its nodes and links as arrays; a request without nodes is an error."""
     n = v_nodes.groupBy("v_net_id").agg(F.array_sort(F.collect_list(F.struct("id", *resources))).alias("nodes"))
     e = v_links.groupBy("v_net_id").agg(F.array_sort(F.collect_list(F.struct("src", "dst", *bandwidths))).alias("links"))
-    return requests.join(n, "v_net_id").join(e, "v_net_id", "left")
+    none = F.raise_error(F.concat(F.lit("a request without nodes: "), F.col("v_net_id").cast("string")))
+    out = requests.join(n, "v_net_id", "left").join(e, "v_net_id", "left")
+    return out.withColumn("nodes", F.coalesce("nodes", none.cast(n.schema["nodes"].dataType)))
 
 
 def _request(row, resources, bandwidths) -> Request:

@@ -40,9 +40,15 @@ def typed(df: DataFrame, types: dict[str, str], strict: bool = True) -> DataFram
     return df.withColumns({c: (F.trim(c).cast(t) if strict else F.trim(c).try_cast(t)) for c, t in types.items()})
 
 
+def path_exists(spark, path: str) -> bool:
+    """Whether a path is there, in any store that Spark reads."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target)
+
+
 def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
     """A folder of CRLF part files; appending needs the columns that are there."""
-    if append and os.path.exists(path):
+    if append and path_exists(df.sparkSession, path):
         there = df.sparkSession.read.options(**CSV_OPTIONS).csv(path).columns
         if there != df.columns:
             raise ValueError(f"columns differ: {there}")
@@ -66,7 +72,7 @@ def write_csv_file(rows: Sequence[dict], path: str, append: bool = False) -> Non
 
 # --- GML -------------------------------------------------------------------------------------
 
-_GML = re.compile(r'\s*(?:#[^\n]*\n)?\s*(?:([A-Za-z_][\w]*)|([-+]?(?:\d+\.\d*|\.\d+|\d+)(?:[eE][-+]?\d+)?|[-+]?(?:INF|NAN))|"([^"]*)"|(\[)|(\]))')
+_GML = re.compile(r'\s*(?:#[^\n]*\n\s*)*(?:([A-Za-z_][\w]*)|([-+]?(?:\d+\.\d*|\.\d+|\d+)(?:[eE][-+]?\d+)?|[-+]?(?:INF|NAN))|"([^"]*)"|(\[)|(\]))')
 
 
 def parse_gml(text: str) -> list[tuple[str, object]]:
@@ -79,6 +85,8 @@ def parse_gml(text: str) -> list[tuple[str, object]]:
             raise ValueError(f"bad GML at {at}: {text[at : at + 20]!r}")
         at = m.end()
         name, number, string, begin, end = m.groups()
+        if key is not None and name in ("NAN", "INF"):
+            name, number = None, name
         if end:
             if key is not None or len(stack) == 1:
                 raise ValueError("unbalanced ]")
@@ -137,7 +145,8 @@ def load_gml(text: str) -> dict:
     keys = ends if directed else [tuple(sorted(e)) for e in ends]
     if len(set(keys)) != len(keys):
         raise ValueError("duplicate link")
-    if any(x not in set(ids) for e in ends for x in e):
+    known = set(ids)
+    if any(x not in known for e in ends for x in e):
         raise ValueError("unknown link end")
     return {"directed": directed, "graph": graph, "nodes": nodes, "links": links}
 
@@ -146,6 +155,11 @@ def dump_gml(network: dict) -> str:
     def escape(s: str) -> str:
         return "".join(c if 32 <= ord(c) < 127 and c not in '&"' else f"&#{ord(c)};" for c in s)
 
+    def number(value) -> str:
+        if value != value:
+            return "NAN"
+        return repr(value) if abs(value) != float("inf") else "+INF" if value > 0 else "-INF"
+
     def lines(key: str, value, indent: int):
         pad = "  " * indent
         if isinstance(value, bool):
@@ -161,7 +175,7 @@ def dump_gml(network: dict) -> str:
             for v in value:
                 yield from lines(key, v, indent)
         elif isinstance(value, (int, float)):
-            yield f"{pad}{key} {value!r}".replace("inf", "+INF").replace("nan", "NAN")
+            yield f"{pad}{key} {number(value)}"
         else:
             yield f'{pad}{key} "{escape(str(value))}"'
 

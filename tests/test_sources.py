@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -99,3 +100,39 @@ def test_admission_stream(spark, tmp_path):
     assert sorted((r["v_net_id"], r["accepted"]) for r in spark.table("adm").collect()) == [(1, True), (2, False), (3, True), (4, True)]
     batch = spark.sql("select timestamp'2024-01-01 00:00:10' ts, 'a' event_type union all select timestamp'2024-01-01 00:01:10', 'a'")
     assert windowed_counts(batch, "1 minute", "1 minute").count() == 2
+
+
+def test_gml_keeps_keys_and_signs_of_infinity():
+    from embergrid.sources import files
+
+    network = {"directed": False, "graph": {"info": 3, "nanos": 1.5}, "nodes": [{"id": 0, "low": float("-inf"), "high": float("inf"), "bad": float("nan")}], "links": []}
+    text = files.dump_gml(network)
+    assert "info 3" in text and "nanos 1.5" in text and "low -INF" in text and "high +INF" in text and "bad NAN" in text
+    again = files.load_gml(text)
+    assert again["graph"] == {"info": 3, "nanos": 1.5} and again["nodes"][0]["low"] == float("-inf") and again["nodes"][0]["bad"] != again["nodes"][0]["bad"]
+
+
+def test_reports_never_cut_rows(spark, monkeypatch):
+    from embergrid.plans import reporting
+
+    monkeypatch.setattr(reporting, "MAX_ROWS", 3)
+    assert len(json.loads(reporting.run_report(spark.range(3)))["summary"]) == 3
+    with pytest.raises(ValueError):
+        reporting.run_report(spark.range(4))
+
+
+def test_links_change_by_tables(spark):
+    from embergrid.operators import attributes as P
+
+    nodes = spark.createDataFrame([(i,) for i in range(4)], "id long")
+    links = spark.createDataFrame([(0, 0, 1, 5), (1, 1, 2, 6)], "eid long, src long, dst long, bw long")
+    new = spark.createDataFrame([(3, 2, 7), (2, 1, 9), (2, 3, 8)], "src long, dst long, bw long").coalesce(1)
+    added = {(r["eid"], r["src"], r["dst"]) for r in P.add_edges(links, new).collect()}
+    assert added == {(0, 0, 1), (1, 1, 2), (2, 2, 3)}
+    assert [tuple(r) for r in P.remove_edges(links, new).collect()] == [(0, 0, 1, 5)]
+    kept, left = P.remove_nodes(nodes, links, nodes.where("id = 2"))
+    assert kept.count() == 3 and [r["eid"] for r in left.collect()] == [0]
+    assert P.add_nodes(nodes, spark.createDataFrame([(3,), (9,)], "id long")).count() == 5
+    assert P.has_edge(links, 2, 1) and not P.has_edge(links, 2, 1, directed=True) and P.endpoints(links, 1) == (1, 2)
+    with pytest.raises(KeyError):
+        P.edge_by_id(links, 7)
