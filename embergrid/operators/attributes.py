@@ -116,7 +116,7 @@ def remove_nodes(nodes: DataFrame, links: DataFrame, gone: DataFrame) -> tuple[D
 
 def adjacency_lists(links: DataFrame, order: str = "dst", directed: bool = False) -> DataFrame:
     arcs = links if directed else closure(links)
-    return arcs.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "dst"))), lambda x: x["dst"]).alias("neighbours"))
+    return arcs.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "dst"))), lambda x: x["dst"]).alias("neighbours"))
 
 
 def relabel(nodes: DataFrame, links: DataFrame, order: Sequence[Column] = (), first: int = 0) -> tuple[DataFrame, DataFrame]:
