@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op10_decontaminate
+from .filter_audit import OP11_SQL, op11_filter_audit
 from .hmm_lm import op4_hmm_lm
 from .html_extract import op8_html_extract
 from .jaccard_join import OP9_SQL, op9_jaccard_join
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontaminate": op10_decontaminate,
+    "op11_filter_audit": op11_filter_audit,
 }
 
-ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op2_quality": OP2_SQL, "op9_jaccard_join": OP9_SQL}
+ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op2_quality": OP2_SQL, "op9_jaccard_join": OP9_SQL, "op11_filter_audit": OP11_SQL}
