@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import tempfile
@@ -95,3 +96,15 @@ def small_batches(spark: SparkSession, rows: int = 500, size: str = "2m") -> Non
     if now <= 0 or now > rows:
         spark.conf.set(key, rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int):
+    """At most ``rows`` rows in an Arrow batch for what runs inside; the session's own number stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -59,11 +59,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]] if len(offsets) else raw, offsets - offsets[0]
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words; texts' ends also end words."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = IS_WORD[data]
+    inside = kind[data]
     before = np.zeros(len(data) + 1, dtype=bool)
     before[1:] = inside
     after = before[1:].copy()
@@ -93,12 +93,12 @@ def blocks(offsets: np.ndarray, most: int = BLOCK_BYTES):
         at = to
 
 
-def batch_words(column: pa.Array):
-    """Yields (first text, word hashes, word offsets per text) for blocks of a string column."""
+def batch_words(column: pa.Array, kind: np.ndarray = IS_WORD):
+    """Yields (first text, word hashes, word offsets per text) for blocks of a string column; ``kind`` tells the bytes of words."""
     data, offsets = buffers(column)
     for at, to in blocks(offsets):
         own, bounds = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
-        starts, ends = word_bounds(own, bounds)
+        starts, ends = word_bounds(own, bounds, kind)
         yield at, hash_words(own, starts, ends), np.searchsorted(starts, bounds)
 
 
