@@ -67,9 +67,8 @@ LINKS_SQL = f"e AS (SELECT l_suppkey AS src, l_partkey + {PART0} AS dst, min(l_l
 def flagship_candidate_ffd(spark, d):
     """Each customer on the feasible supplier of its nation with most resources; totals by nation."""
     v = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.greatest(F.floor("c_acctbal"), F.lit(0)).alias("demand"))
-    pairs = v.join(physical(spark, d), F.col("c_nationkey") == F.col("nation")).where(R.satisfied(F.col("demand"), F.col("cpu")))
-    best = pairs.withColumn("score", F.col("cpu") + F.col("ram")).select("c_custkey", "c_nationkey", "demand", "id", "score")
-    best = K.first_max(best, ["c_custkey"], "score", "id")
+    offers = physical(spark, d).withColumn("score", F.col("cpu") + F.col("ram")).withColumnRenamed("nation", "c_nationkey")
+    best = K.best_offer(v, offers, ["c_nationkey"], "demand", "cpu", F.struct("score", -F.col("id")), ["id"])
     return best.groupBy("c_nationkey").agg(F.count("*").alias("placed"), F.sum("demand").alias("revenue"), F.countDistinct("id").alias("used"))
 
 
@@ -167,7 +166,7 @@ _RW = "SELECT c.id, 0.15 * c.b + 0.85 * coalesce(f.f, 0) AS r FROM c LEFT JOIN (
 
 @query("rank_rw", f"WITH {LINKS_SQL}, u AS (SELECT src AS id, (src % 50 + 50) * sum(bw)::DOUBLE + 1e-9 AS b FROM a GROUP BY src), c AS (SELECT id, b / (SELECT sum(b) FROM u) AS b FROM u), m AS (SELECT src, dst, (dst % 50 + 50)::DOUBLE / sum(dst % 50 + 50) OVER (PARTITION BY src) AS m FROM (SELECT DISTINCT src, dst FROM a)), r0 AS (SELECT id, b AS r FROM c), {_power(10, _RW)} SELECT id, round(r, 10) AS score FROM r10")
 def rank_rw(spark, d):
-    return K.rank_rw(_graph_nodes(spark, d), network_links(spark, d), ["cpu"], "bw").select("id", F.round("score", 10).alias("score"))
+    return K.rank_rw(_graph_nodes(spark, d), network_links(spark, d), ["cpu"], "bw", tolerance=0.0, rounds=10).select("id", F.round("score", 10).alias("score"))
 
 
 @query("top_parts_per_brand", "SELECT p_brand, p_partkey, r AS rank FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey)::INT AS r FROM part) WHERE r <= 3")
@@ -177,8 +176,10 @@ def top_parts_per_brand(spark, d):
 
 @query("first_feasible_supplier", f"WITH {PHYSICAL_SQL} SELECT c_custkey, min(id) AS id FROM customer JOIN p ON nation = c_nationkey AND c_acctbal <= cpu GROUP BY c_custkey")
 def first_feasible_supplier(spark, d):
-    pairs = table(spark, d, "customer").join(physical(spark, d), F.col("nation") == F.col("c_nationkey"))
-    return K.first_feasible(pairs, ["c_custkey"], R.satisfied(F.col("c_acctbal"), F.col("cpu").cast("double")), "id", "id")
+    """The feasible supplier of its nation with the smallest key, for each customer."""
+    offers = physical(spark, d).withColumnRenamed("nation", "c_nationkey")
+    demands = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    return K.best_offer(demands, offers, ["c_nationkey"], "c_acctbal", "cpu", -F.col("id"), ["id"]).select("c_custkey", "id")
 
 
 _BFS = f"WITH RECURSIVE {LINKS_SQL}, s(id, d) USING KEY (id) AS (SELECT min(src), 0 FROM e UNION SELECT a.dst, min(s.d + 1) FROM s JOIN a ON a.src = s.id LEFT JOIN recurring.s r ON r.id = a.dst WHERE r.id IS NULL GROUP BY a.dst)"
@@ -196,10 +197,10 @@ def bfs_stats(spark, d):
     return G.bfs_stats(G.bfs(links, links.agg(F.min("src").alias("id")))).select("total", "reached")
 
 
-@query("tree_levels", f"{_BFS} SELECT d AS distance, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM s GROUP BY d")
+@query("tree_levels", f"{_BFS} SELECT d AS distance, id, row_number() OVER (PARTITION BY d ORDER BY id) - 1 AS place FROM s")
 def tree_levels(spark, d):
     links = network_links(spark, d)
-    return G.tree_levels(G.bfs(links, links.agg(F.min("src").alias("id")))).select("distance", F.concat_ws(",", F.col("ids").cast("array<string>")).alias("ids"))
+    return G.tree_levels(G.bfs(links, links.agg(F.min("src").alias("id")))).select("distance", "id", "place")
 
 
 @query("shortest_paths", f"WITH RECURSIVE {LINKS_SQL}, b(id, d) USING KEY (id) AS (SELECT min(src), 0::BIGINT FROM e UNION SELECT a.dst, min(b.d + a.w) FROM b JOIN a ON a.src = b.id LEFT JOIN recurring.b r ON r.id = a.dst WHERE r.id IS NULL OR b.d + a.w < r.d GROUP BY a.dst), t AS (SELECT a.dst AS id, min(a.src) AS via FROM b JOIN a ON a.src = b.id JOIN b x ON x.id = a.dst WHERE b.d + a.w = x.d GROUP BY a.dst) SELECT b.id, b.d::DOUBLE AS distance, CASE WHEN b.id <> (SELECT min(src) FROM e) THEN via ELSE -1 END AS via FROM b LEFT JOIN t ON t.id = b.id")
@@ -345,9 +346,11 @@ def first_occurrence(spark, d):
     return P.first_occurrence(li, ["l_partkey"], "ord").select("l_partkey", "l_orderkey")
 
 
-@query("never_ordered_customers", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("never_ordered_customers", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def never_ordered_customers(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers that never ordered with urgency."""
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
+    return table(spark, d, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("pooled_offsets", "SELECT l_suppkey, max(l_quantity - 25) AS max_offset, sum(greatest(l_quantity - 25, 0)) AS violation FROM lineitem GROUP BY 1")
@@ -398,4 +401,4 @@ def simulate_windows(spark, d):
     return C.window_summary(S.online_runs(spark, sub, nested, runs, ["cpu"], ["bw"]), 0.0, 50.0)
 
 
-from . import catalog_state  # noqa: E402, F401  its queries join this catalog
+from . import catalog_paths, catalog_state  # noqa: E402, F401  their queries join this catalog

@@ -142,11 +142,11 @@ def removed_nodes(spark, d):
     return P.remove_nodes(nodes, network_links(spark, d), nodes.where(f"id < {PART0} and id % 3 = 0"))[1].select("src", "dst")
 
 
-@query("added_links", f"WITH {LINKS_SQL}, f AS (SELECT DISTINCT l_suppkey AS src, l_orderkey + 2 * {PART0} AS dst FROM lineitem WHERE l_returnflag = 'N') SELECT src, dst FROM e UNION SELECT src, dst FROM f")
+@query("added_links", f"WITH {LINKS_SQL}, f AS (SELECT DISTINCT l_suppkey AS src, l_orderkey + 2 * {PART0} AS dst FROM lineitem WHERE l_returnflag = 'N') SELECT row_number() OVER (ORDER BY src, dst) - 1 AS eid, src, dst FROM e UNION ALL SELECT (SELECT count(*) FROM e) + row_number() OVER (ORDER BY src, dst) - 1, src, dst FROM f")
 def added_links(spark, d):
     new = table(spark, d, "lineitem").where("l_returnflag = 'N'").select((F.col("l_orderkey") + 2 * PART0).alias("src"), F.col("l_suppkey").alias("dst"))
-    links = network_links(spark, d).select("src", "dst")
-    return P.add_edges(links, new.union(links)).select("src", "dst")
+    links = P.with_position(network_links(spark, d).select("src", "dst"), [F.col("src"), F.col("dst")], "eid")
+    return P.add_edges(links, new.union(links.select("src", "dst"))).select("eid", "src", "dst")
 
 
 @query("flattened_props", "SELECT event_id, 'k' AS \"key\", props ->> '$.k' AS value FROM events WHERE (props ->> '$.k') IS NOT NULL")

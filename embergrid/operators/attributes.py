@@ -27,13 +27,14 @@ def get_attribute(table: DataFrame, keys: Sequence[str], name: str) -> DataFrame
 
 
 def set_attribute(table: DataFrame, keys: Sequence[str], name: str, values: DataFrame | Column) -> DataFrame:
-    """A column from an expression, or a sparse update from (keys, value)."""
+    """A column from an expression, or a sparse update from (keys, value); null values are set, repeated keys an error."""
     if isinstance(values, Column):
         return table.withColumn(name, values)
-    new = values.select(*keys, F.col(name).alias("__new"))
+    repeated = F.raise_error(F.lit("repeated key in an update")).cast(values.schema[name].dataType)
+    new = values.groupBy(*keys).agg(F.when(F.count("*") > 1, repeated).otherwise(F.first(name)).alias("__new"), F.lit(True).alias("__set"))
     joined = table.join(new, list(keys), "left")
     old = F.col(name) if name in table.columns else F.lit(None)
-    return joined.withColumn(name, F.coalesce(F.col("__new"), old)).drop("__new").select(*table.columns, *([name] if name not in table.columns else []))
+    return joined.withColumn(name, F.when(F.col("__set"), F.col("__new")).otherwise(old)).drop("__new", "__set").select(*table.columns, *([name] if name not in table.columns else []))
 
 
 def select_attributes(definitions: DataFrame, owner: str, kinds: Sequence[str] = (), names: Sequence[str] = ()) -> DataFrame:
@@ -97,7 +98,8 @@ def add_edges(links: DataFrame, new: DataFrame, directed: bool = False) -> DataF
     ends = [F.col("src"), F.col("dst")] if directed else [F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")]
     rest = [c for c in new.columns if c not in ("src", "dst", "eid")]
     fresh = new.select(*ends, *rest).dropDuplicates(["src", "dst"]).join(links.select(*ends), ["src", "dst"], "left_anti")
-    first = (links.agg(F.max("eid")).first()[0] or -1) + 1 if "eid" in links.columns and not links.isEmpty() else 0
+    last = links.agg(F.max("eid")).first()[0] if "eid" in links.columns else None
+    first = 0 if last is None else last + 1
     return links.unionByName(with_position(fresh, [F.col("src"), F.col("dst")], "eid", first), allowMissingColumns=True)
 
 

@@ -5,10 +5,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .attributes import closure
+from .running import running
 from .storage import saved
 
 
@@ -45,7 +48,8 @@ def bfs_stats(distances: DataFrame) -> DataFrame:
 
 
 def tree_levels(distances: DataFrame) -> DataFrame:
-    return distances.groupBy("source", "distance").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    """(source, distance, id, place): each node's place in its level by id, counted over ranges, so a wide level is split."""
+    return running(distances.select("source", "distance", "id"), ["source", "distance"], ["id"], {"n": F.lit(1)}).select("source", "distance", "id", (F.col("n") - 1).alias("place"))
 
 
 def shortest_paths(links: DataFrame, sources: DataFrame, weight: str | None = None, cutoff: float | None = None, directed: bool = False) -> DataFrame:
@@ -125,11 +129,20 @@ def degree_centrality(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return degree(nodes, links).select("id", (F.lit(1.0) if n <= 1 else F.col("degree") / (n - 1)).alias("score"))
 
 
-def closeness_centrality(nodes: DataFrame, links: DataFrame, directed: bool = False) -> DataFrame:
-    """(reached / total distance) (reached / (n - 1)), over distances towards the node."""
+def in_blocks(nodes: DataFrame, block: int) -> list[DataFrame]:
+    """The nodes dealt by hash into blocks of about ``block`` each; at least one."""
+    parts = max(1, -(-nodes.count() // block))
+    return [nodes.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == p) for p in range(parts)]
+
+
+def closeness_centrality(nodes: DataFrame, links: DataFrame, directed: bool = False, block: int = 10_000) -> DataFrame:
+    """(reached / total distance) (reached / (n - 1)), over distances towards the node.
+
+    The searches run from ``block`` nodes at a time, and only their totals are kept.
+    """
     n = nodes.count()
     into = links.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if directed else links
-    stats = bfs_stats(bfs(into, nodes, directed=directed))
+    stats = functools.reduce(DataFrame.union, [saved(bfs_stats(bfs(into, part, directed=directed))) for part in in_blocks(nodes, block)])
     r = F.col("reached") - 1
     return stats.select(F.col("source").alias("id"), F.when(F.col("total") > 0, r / F.col("total") * r / max(n - 1, 1)).otherwise(0.0).alias("score"))
 
@@ -152,25 +165,30 @@ def eigenvector_centrality(nodes: DataFrame, links: DataFrame, rounds: int = 100
     return x.select("id", F.col("x").alias("score"))
 
 
-def betweenness_centrality(nodes: DataFrame, links: DataFrame, directed: bool = False) -> DataFrame:
-    """Brandes by levels: path counts outwards, then dependencies from the deepest level inwards."""
+def betweenness_centrality(nodes: DataFrame, links: DataFrame, directed: bool = False, block: int = 10_000) -> DataFrame:
+    """Brandes by levels: path counts outwards, then dependencies from the deepest level inwards, ``block`` sources at a time."""
     n, arcs = nodes.count(), saved(arcs_of(links, directed))
-    counts = saved(path_counts(links, bfs(links, nodes, directed=directed), directed))
+    sums = functools.reduce(DataFrame.union, [saved(_dependencies(part, links, arcs, directed)) for part in in_blocks(nodes, block)])
+    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    total = sums.groupBy("id").agg((F.sum("s") * scale).alias("s"))
+    return nodes.select("id").join(total, "id", "left").select("id", F.coalesce("s", F.lit(0.0)).alias("score"))
+
+
+def _dependencies(sources: DataFrame, links: DataFrame, arcs: DataFrame, directed: bool) -> DataFrame:
+    """(id, s): the dependencies of these sources on each node; a level's sums are written and read back by one plan at the end."""
+    counts = saved(path_counts(links, bfs(links, sources, directed=directed), directed))
     deepest = counts.agg(F.max("distance")).first()[0] or 0
     level = saved(counts.where(F.col("distance") == deepest).withColumn("delta", F.lit(0.0)))
-    parts = [level]
+    parts = [level.where("source <> id").select("id", "delta")]
     for depth in range(deepest - 1, -1, -1):
         far = level.select("source", F.col("id").alias("dst"), ((1 + F.col("delta")) / F.col("paths")).alias("share"))
         near = counts.where(F.col("distance") == depth)
         sums = far.join(arcs, "dst").groupBy("source", F.col("src").alias("id")).agg(F.sum("share").alias("share"))
         level = saved(near.join(sums, ["source", "id"], "left").withColumn("delta", F.col("paths") * F.coalesce("share", F.lit(0.0))).drop("share"))
-        parts.append(level)
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    sums = every.where("source <> id").groupBy("id").agg((F.sum("delta") * scale).alias("s"))
-    return nodes.select("id").join(sums, "id", "left").select("id", F.coalesce("s", F.lit(0.0)).alias("score"))
+        parts.append(level.where("source <> id").select("id", "delta"))
+        if len(parts) >= 16:  # one total in place of many levels, so that plans don't grow with the diameter
+            parts = [saved(functools.reduce(DataFrame.union, parts).groupBy("id").agg(F.sum("delta").alias("delta")))]
+    return functools.reduce(DataFrame.union, parts).groupBy("id").agg(F.sum("delta").alias("s"))
 
 
 def topological_metrics(nodes: DataFrame, links: DataFrame, normalise: bool = False) -> DataFrame:

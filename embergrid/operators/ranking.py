@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .aggregates import degree, link_aggregate
 from .attributes import closure, with_position
+from .running import running
 from .storage import saved
 
 
@@ -70,8 +71,8 @@ def rank_grc(nodes: DataFrame, links: DataFrame, resources: Sequence[str], bandw
     return state.select("id", F.col("r").alias("score"))
 
 
-def rank_rw(nodes: DataFrame, links: DataFrame, resources: Sequence[str], bandwidth: str, rounds: int = 10) -> DataFrame:
-    """Random walk: restart to the share of capacity x bandwidth, else to neighbours by capacity."""
+def rank_rw(nodes: DataFrame, links: DataFrame, resources: Sequence[str], bandwidth: str, tolerance: float = 1e-5, rounds: int = 1000) -> DataFrame:
+    """Random walk to its tolerance: restart to the share of capacity x bandwidth, else to neighbours by capacity."""
     own = nodes.select("id", _total(resources).cast("double").alias("c"))
     flows = link_aggregate(nodes, links, bandwidth, "sum", n=1)
     base = own.join(flows, "id").select("id", "c", (F.col("c") * F.col("value") + 1e-9).alias("b"))
@@ -81,11 +82,14 @@ def rank_rw(nodes: DataFrame, links: DataFrame, resources: Sequence[str], bandwi
     arcs = closure(links).select("src", "dst").distinct().join(base.select(F.col("id").alias("dst"), F.col("c").alias("w")), "dst")
     arcs = arcs.select("src", "dst", (F.col("w") / F.sum("w").over(Window.partitionBy("src"))).alias("m"))
     arcs = saved(arcs)
-    rank = base.select("id", F.col("b").alias("r"))
-    for _ in range(rounds):
-        flow = arcs.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("r") * F.col("m")).alias("f"))
-        rank = base.join(flow, "id", "left").select("id", (0.15 * F.col("b") + 0.85 * F.coalesce("f", F.lit(0.0))).alias("r"))
-    return rank.select("id", F.col("r").alias("score"))
+    state = base.select("id", F.col("b").alias("r"))
+    for k in range(rounds):  # a round's state is read twice by the next, so each is saved
+        flow = arcs.join(state.select(F.col("id").alias("src"), "r"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("r") * F.col("m")).alias("f"))
+        new = base.join(flow, "id", "left").select("id", (0.15 * F.col("b") + 0.85 * F.coalesce("f", F.lit(0.0))).alias("r"))
+        state = saved(new.join(state.select("id", F.col("r").alias("was")), "id"))
+        if tolerance > 0 and k % 5 == 4 and (state.agg(F.sqrt(F.sum((F.col("r") - F.col("was")) ** 2))).first()[0] or 0.0) < tolerance:
+            break
+    return state.select("id", F.col("r").alias("score"))
 
 
 def rank_nps(nodes: DataFrame, links: DataFrame, nrm: DataFrame, distances: DataFrame) -> DataFrame:
@@ -117,6 +121,21 @@ def first_feasible(pairs: DataFrame, by: Sequence[str], feasible: Column, order:
     return pairs.where(feasible).groupBy(*by).agg(F.min_by(value, order).alias(value))
 
 
+def best_offer(demands: DataFrame, offers: DataFrame, by: Sequence[str], demand: str, capacity: str, rank: Column, take: Sequence[str]) -> DataFrame:
+    """Each of ``demands`` with ``take`` of the offer of its group with the greatest ``rank`` among those whose capacity holds it.
+
+    Both tables are merged by falling size and the best offer so far is carried on, which is the staircase of the offers
+    that no other beats; rows grow with both sides, not with their pairs, and a hot group is split. Demands that no offer of
+    the group holds are left out, and so are null groups, sizes and ranks.
+    """
+    known = lambda size: reduce(lambda a, c: a & F.col(c).isNotNull(), by, F.col(size).isNotNull())
+    key = F.struct(*by).alias("k")
+    held = offers.where(known(capacity) & rank.isNotNull()).select(key, (-F.col(capacity).cast("double")).alias("at"), F.lit(0).alias("s"), F.struct(rank.alias("rank"), *take).alias("v"))
+    asked = demands.where(known(demand)).select(key, (-F.col(demand).cast("double")).alias("at"), F.lit(1).alias("s"), F.struct(*demands.columns).alias("l"))
+    out = running(held.unionByName(asked, allowMissingColumns=True), ["k"], ["at", "s"], maxes={"best": F.col("v")})
+    return out.where("l is not null and best is not null").select("l.*", *[F.col("best")[c].alias(c) for c in take])
+
+
 def path_score(candidates: DataFrame, nrm: str, distance: str, by: Sequence[str]) -> DataFrame:
     """nrm over the distances to all placed nodes."""
     return candidates.groupBy(*by).agg((F.first(nrm) / (F.sum(distance) + 1e-6)).alias("score"))

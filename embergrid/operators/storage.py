@@ -3,15 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder (a temporary one in local mode where none is set)."""
-    sc = df.sparkSession.sparkContext
+def _shared(sc) -> None:
     if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
         if not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="embergrid-"))
-    return df.checkpoint()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """A table written once into the shared checkpoint folder (a temporary one in local mode where none is set) and read back.
+
+    It cuts the lineage and outlives executors. Unlike a checkpoint it has the sizes of its files, not an estimate
+    that a loop of joins multiplies from round to round, so small sides are broadcast and large ones never.
+    """
+    path = folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared checkpoint folder."""
+    sc = spark.sparkContext
+    _shared(sc)
+    base = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().get()
+    return f"{base.rstrip('/')}/embergrid-{uuid.uuid4().hex}/{label}"

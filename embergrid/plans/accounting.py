@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.resources import mean_skip_nan
+from ..operators.running import running
 
 
 def solution_accounts(demands: DataFrame, hops: DataFrame, node_resources: int = 1) -> DataFrame:
@@ -52,17 +53,16 @@ def partial_accounts(placed: DataFrame, routed: DataFrame, node_resources: int =
 
 def running_state(records: DataFrame, run: str = "run_id") -> DataFrame:
     """Totals after every event of each run: counts, in service, revenue, cost."""
-    w = Window.partitionBy(run).orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
     arrival = F.col("event_type") == 1
     accepted = arrival & F.col("result")
     leave_ok = (F.col("event_type") == 0) & F.col("result")
-    return records.withColumns({
-        "v_net_count": F.sum(arrival.cast("long")).over(w),
-        "success_count": F.sum(accepted.cast("long")).over(w),
-        "inservice_count": F.sum(accepted.cast("long") - leave_ok.cast("long")).over(w),
-        "total_revenue": F.sum(F.when(accepted, F.col("revenue")).otherwise(0.0)).over(w),
-        "total_cost": F.sum(F.when(accepted, F.col("cost")).otherwise(0.0)).over(w),
-        "total_time_revenue": F.sum(F.when(accepted, F.col("revenue") * F.col("lifetime")).otherwise(0.0)).over(w),
+    return running(records, [run], ["event_id"], {
+        "v_net_count": arrival.cast("long"),
+        "success_count": accepted.cast("long"),
+        "inservice_count": accepted.cast("long") - leave_ok.cast("long"),
+        "total_revenue": F.when(accepted, F.col("revenue")).otherwise(0.0),
+        "total_cost": F.when(accepted, F.col("cost")).otherwise(0.0),
+        "total_time_revenue": F.when(accepted, F.col("revenue") * F.col("lifetime")).otherwise(0.0),
     })
 
 
@@ -71,15 +71,13 @@ def running_membership(placements: DataFrame, run: str = "run_id") -> DataFrame:
 
     ``placements``: (run, event_id, p_node, step), step 1 for each node that an accepted arrival takes,
     -1 where its leave frees it. Each node's own running sum tells where it turns live or idle; the turns
-    are then summed over the events, so only a run's events are one group.
+    are then summed over the events. Both sums run in ranges, so neither a run nor a node is one group.
     """
     steps = placements.groupBy(run, "p_node", "event_id").agg(F.sum("step").alias("step"))
-    own = Window.partitionBy(run, "p_node").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    held = F.sum("step").over(own)
-    turned = steps.withColumn("held", held).withColumn("turn", (F.col("held") > 0).cast("long") - (F.col("held") - F.col("step") > 0).cast("long"))
+    turned = running(steps, [run, "p_node"], ["event_id"], {"held": F.col("step")})
+    turned = turned.withColumn("turn", (F.col("held") > 0).cast("long") - (F.col("held") - F.col("step") > 0).cast("long"))
     events = turned.groupBy(run, "event_id").agg(F.sum("turn").alias("turn"))
-    every = Window.partitionBy(run).orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return events.select(run, "event_id", F.sum("turn").over(every).alias("running_nodes"))
+    return running(events, [run], ["event_id"], {"running_nodes": F.col("turn")}).select(run, "event_id", "running_nodes")
 
 
 def run_summary(state: DataFrame, run: str = "run_id") -> DataFrame:
@@ -101,20 +99,18 @@ def window_summary(records: DataFrame, origin: float, size: float, run: str = "r
     """Tumbling windows: arrivals open windows, leaves count to the window of the arrival before them."""
     from ..functions.resources import window_index
 
-    w = Window.partitionBy(run).orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
     own = F.when(F.col("event_type") == 1, window_index(F.col("event_time"), origin, size))
-    rows = records.withColumn("window", F.last(own, ignorenulls=True).over(w)).where("window is not null")
+    rows = running(records, [run], ["event_id"], lasts={"window": own}).where("window is not null")
     arrival = F.col("event_type") == 1
     return rows.groupBy(run, "window").agg(F.min("event_time").alias("first_event_time"), F.max("event_time").alias("last_event_time"), F.count_if(arrival).alias("arrival_steps"), F.count_if(arrival & F.col("result")).alias("accepted"), F.count_if(arrival & ~F.col("result")).alias("rejected"), F.count_if(~arrival).alias("auto_released_events"))
 
 
 def in_service(requests: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Requests active after each event: +1 at arrivals, -1 at leaves, summed in time order."""
+    """Requests active after each event: +1 at arrivals, -1 at leaves, summed in time order over ranges of time."""
     plus = requests.select(*(by or []), F.col("arrival_time").alias("time"), F.lit(1).alias("step"))
     minus = requests.select(*(by or []), (F.col("arrival_time") + F.col("lifetime")).alias("time"), F.lit(-1).alias("step"))
     steps = plus.unionAll(minus).groupBy(*(by or []), "time").agg(F.sum("step").alias("step"))
-    w = Window.partitionBy(*(by or [])).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumn("active", F.sum("step").over(w))
+    return running(steps, by or [], ["time"], {"active": F.col("step")})
 
 
 def concatenate_stages(runs: list[DataFrame], offsets: list[int]) -> DataFrame:

@@ -5,16 +5,22 @@ from __future__ import annotations
 import csv
 import html
 import io
+import itertools
 import json
 import os
 import re
-from collections.abc import Sequence
+import uuid
+from collections import Counter
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from pathlib import Path
+from urllib.parse import urlsplit
 
 import yaml
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "mode": "FAILFAST", "enforceSchema": False, "encoding": "UTF-8"}
 
@@ -151,43 +157,47 @@ def load_gml(text: str) -> dict:
     return {"directed": directed, "graph": graph, "nodes": nodes, "links": links}
 
 
-def dump_gml(network: dict) -> str:
-    def escape(s: str) -> str:
-        return "".join(c if 32 <= ord(c) < 127 and c not in '&"' else f"&#{ord(c)};" for c in s)
-
-    def number(value) -> str:
-        if value != value:
-            return "NAN"
-        return repr(value) if abs(value) != float("inf") else "+INF" if value > 0 else "-INF"
-
-    def lines(key: str, value, indent: int):
-        pad = "  " * indent
-        if isinstance(value, bool):
-            value = int(value)
-        if isinstance(value, dict):
-            yield f"{pad}{key} ["
-            for k, v in value.items():
-                yield from lines(k, v, indent + 1)
-            yield f"{pad}]"
-        elif isinstance(value, (list, tuple)):
-            if len(value) == 1:
-                yield f'{pad}{key} "_networkx_list_start"'
-            for v in value:
-                yield from lines(key, v, indent)
-        elif isinstance(value, (int, float)):
-            yield f"{pad}{key} {number(value)}"
-        else:
-            yield f'{pad}{key} "{escape(str(value))}"'
+def _gml_escape(s: str) -> str:
+    return "".join(c if 32 <= ord(c) < 127 and c not in '&"' else f"&#{ord(c)};" for c in s)
+
+
+def _gml_number(value) -> str:
+    if value != value:
+        return "NAN"
+    return repr(value) if abs(value) != float("inf") else "+INF" if value > 0 else "-INF"
+
+
+def gml_lines(key: str, value, indent: int = 1) -> Iterator[str]:
+    """The lines of one entry; one-element lists are marked, empty ones have no lines."""
+    pad = "  " * indent
+    if isinstance(value, bool):
+        value = int(value)
+    if isinstance(value, dict):
+        yield f"{pad}{key} ["
+        for k, v in value.items():
+            yield from gml_lines(k, v, indent + 1)
+        yield f"{pad}]"
+    elif isinstance(value, (list, tuple)):
+        if len(value) == 1:
+            yield f'{pad}{key} "_networkx_list_start"'
+        for v in value:
+            yield from gml_lines(key, v, indent)
+    elif isinstance(value, (int, float)):
+        yield f"{pad}{key} {_gml_number(value)}"
+    else:
+        yield f'{pad}{key} "{_gml_escape(str(value))}"'
 
+
+def dump_gml(network: dict) -> str:
     out = ["graph ["]
     if network.get("directed"):
         out.append("  directed 1")
     for k, v in network.get("graph", {}).items():
-        out += lines(k, v, 1)
+        out += gml_lines(k, v)
     for n in network["nodes"]:
-        out += lines("node", n, 1)
+        out += gml_lines("node", n)
     for e in network["links"]:
-        out += lines("edge", e, 1)
+        out += gml_lines("edge", e)
     return "\n".join([*out, "]"]) + "\n"
 
 
@@ -195,16 +205,28 @@ class _GmlFile(InputPartition):
     pass
 
 
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI (local, or any store that Arrow opens), and the path in it."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), urlsplit(path).path
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
 class GmlReader(DataSourceReader):
     def __init__(self, options):
         self.folder, self.kind = options["path"], options.get("kind", "nodes")
 
     def partitions(self):
-        root = Path(self.folder)
-        return [_GmlFile(str(p)) for p in (sorted(root.glob("*.gml")) if root.is_dir() else [root])]
+        store, root = opened(self.folder)
+        if store.get_file_info(root).type == fs.FileType.File:
+            return [_GmlFile(root)]
+        found = store.get_file_info(fs.FileSelector(root))
+        return [_GmlFile(p) for p in sorted(f.path for f in found if f.path.endswith(".gml"))]
 
     def read(self, partition):
-        network = load_gml(Path(partition.value).read_text())
+        store, _ = opened(self.folder)
+        with store.open_input_stream(partition.value) as f:
+            network = load_gml(f.read().decode("utf-8"))
         name = Path(partition.value).stem
         for i, row in enumerate(network[self.kind]):
             if self.kind == "nodes":
@@ -213,9 +235,68 @@ class GmlReader(DataSourceReader):
                 yield name, i, row["source"], row["target"], json.dumps({k: v for k, v in row.items() if k not in ("source", "target")})
 
 
+@dataclass
+class _GmlFiles(WriterCommitMessage):
+    folder: str
+    names: list[str]
+
+
+class GmlWriter(DataSourceWriter):
+    """Rows (network, id, src, dst, attributes), those of a network together and nodes first, to one file a network.
+
+    A task writes into a folder of its own under ``_temporary``; committing the job moves the files of the tasks that
+    ended well, aborting it deletes the folder, so that a failed job leaves no file.
+    """
+
+    def __init__(self, options, overwrite: bool):
+        self.folder, self.overwrite, self.directed = options["path"], overwrite, options.get("directed", "false") == "true"
+        self.job = f"_temporary/{uuid.uuid4().hex}"
+
+    def write(self, rows):
+        store, root = opened(self.folder)
+        own, names = f"{root}/{self.job}/{uuid.uuid4().hex}", []
+        store.create_dir(own, recursive=True)
+        for network, group in itertools.groupby(rows, key=lambda r: r["network"]):
+            names.append(f"{network}.gml")
+            with store.open_output_stream(f"{own}/{names[-1]}") as f:
+                f.write(b"graph [\n  directed 1\n" if self.directed else b"graph [\n")
+                for r in group:
+                    rest = {k: v for k, v in json.loads(r["attributes"] or "{}").items() if v is not None}
+                    lines = gml_lines("node", {"id": r["id"], **rest}) if r["src"] is None else gml_lines("edge", {"source": r["src"], "target": r["dst"], **rest})
+                    f.write("".join(f"{line}\n" for line in lines).encode())
+                f.write(b"]\n")
+        return _GmlFiles(own, names)
+
+    def commit(self, messages):
+        store, root = opened(self.folder)
+        names = [n for m in messages if m for n in m.names]
+        there = {Path(f.path).name for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.path.endswith(".gml")}
+        twice = {n for n, k in Counter(names).items() if k > 1}
+        if twice or (there & set(names) and not self.overwrite):
+            self.abort(messages)
+            raise ValueError(f"networks of several tasks, or there already: {sorted(twice or there & set(names))[:5]}")
+        for name in there if self.overwrite else ():
+            store.delete_file(f"{root}/{name}")
+        for m in messages:
+            for name in m.names if m else ():
+                store.move(f"{m.folder}/{name}", f"{root}/{name}")
+        self._clean()
+
+    def abort(self, messages):
+        self._clean()
+
+    def _clean(self):
+        store, root = opened(self.folder)
+        if store.get_file_info(f"{root}/{self.job}").type == fs.FileType.Directory:
+            store.delete_dir(f"{root}/{self.job}")
+        if not store.get_file_info(fs.FileSelector(f"{root}/_temporary", allow_not_found=True)) and store.get_file_info(f"{root}/_temporary").type == fs.FileType.Directory:
+            store.delete_dir(f"{root}/_temporary")
+
+
 class GmlSource(DataSource):
     """``spark.read.format("gml").option("kind", "nodes" | "links").load(path)``: a row for each node or
-    link of every GML file of a path, attributes as JSON; a file is one partition."""
+    link of every GML file of a path, attributes as JSON; a file is one partition. Writing takes such rows,
+    clustered by network (see ``write_networks``)."""
 
     @classmethod
     def name(cls):
@@ -227,34 +308,14 @@ class GmlSource(DataSource):
     def reader(self, schema):
         return GmlReader(self.options)
 
+    def writer(self, schema, overwrite):
+        return GmlWriter(self.options, overwrite)
+
 
 def register_gml(spark: SparkSession) -> None:
     spark.dataSource.register(GmlSource)
 
 
-# --- SNDlib XML ------------------------------------------------------------------------------
-
-
-def read_sndlib(spark: SparkSession, path: str, copy_capacity_as_cost: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(nodes, links) of an SNDlib topology; cost columns copy the capacities unless told otherwise."""
-    nodes = spark.read.format("xml").options(rowTag="node", mode="FAILFAST").load(path)
-    nodes = nodes.select(F.col("_id").cast("string").alias("label"), F.col("coordinates.x").cast("double").alias("x"), F.col("coordinates.y").cast("double").alias("y"))
-    nodes = nodes.withColumn("id", F.row_number().over(_label_order()).cast("long") - 1)
-    schema = "_id string, source string, target string, preInstalledModule struct<capacity:double,cost:double>"
-    raw = spark.read.format("xml").schema(schema).options(rowTag="link", mode="FAILFAST").load(path)
-    capacity = F.coalesce("preInstalledModule.capacity", F.lit(0.0))
-    links = raw.select(F.col("source").alias("s"), F.col("target").alias("t"), capacity.alias("capacity"), (capacity if copy_capacity_as_cost else F.coalesce("preInstalledModule.cost", F.lit(0.0))).alias("cost"))
-    found = links.join(nodes.select(F.col("label").alias("s"), F.col("id").alias("src")), "s", "left").join(nodes.select(F.col("label").alias("t"), F.col("id").alias("dst")), "t", "left")
-    bad = F.raise_error(F.lit("unknown link end")).cast("long")
-    return nodes, found.select(F.coalesce("src", bad).alias("src"), F.coalesce("dst", bad).alias("dst"), "capacity", "cost")
-
-
-def _label_order():
-    from pyspark.sql import Window
-
-    return Window.orderBy("label")  # a topology file's nodes: a few thousand
-
-
 # --- settings --------------------------------------------------------------------------------
 
 

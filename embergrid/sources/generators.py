@@ -7,10 +7,11 @@ import random
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.distributions import sample
+from ..operators.running import running
 
 LINKS = "src long, dst long"
 
@@ -130,6 +131,5 @@ def event_schedule(requests: DataFrame) -> DataFrame:
 
 
 def arrival_times(intervals: DataFrame, key: str, order: str, interval: str) -> DataFrame:
-    """Running sums of inter-arrival times per key."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return intervals.withColumn("arrival_time", F.sum(interval).over(w))
+    """Running sums of inter-arrival times per key; a hot key runs in ranges."""
+    return running(intervals, [key], [order], {"arrival_time": F.col(interval)})

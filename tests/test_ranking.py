@@ -19,3 +19,46 @@ def test_grc_runs_to_its_fixed_point(spark):
     nodes = spark.createDataFrame(list(cpu.items()), "id long, cpu double")
     got = ranking.rank_grc(nodes, spark.createDataFrame(links, "src long, dst long, bw long"), ["cpu"], "bw").collect()
     assert np.allclose([r["score"] for r in sorted(got, key=lambda r: r["id"])], want, atol=1e-4)
+
+
+def test_best_offer(spark):
+    """The best offer of each demand's group, against all pairs; ties, nulls, groups on one side, a hot group over ranges."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from embergrid.operators.ranking import best_offer
+
+    rng = random.Random(0)
+    group = lambda: rng.choice(["a", "a", "a", "a", "b", "c", None])
+    demands = [(i, group(), rng.choice([None, *range(12)])) for i in range(200)]
+    offers = [(i, group(), rng.choice([None, *range(10)]), rng.randint(0, 4)) for i in range(60)] + [(99, "z", 5, 1)]
+    found = best_offer(spark.createDataFrame(demands, "d long, g string, need int"), spark.createDataFrame(offers, "id long, g string, room int, score int"), ["g"], "need", "room", F.struct("score", -F.col("id")), ["id"]).collect()
+    want = []
+    for d, g, need in demands:
+        fit = [(score, -i) for i, h, room, score in offers if None not in (g, need, room) and h == g and room >= need]
+        want += [(d, g, need, -max(fit)[1])] if fit else []
+    assert sorted(map(tuple, found)) == sorted(want) and len(want) > 50
+
+
+def test_set_attribute_sets_nulls_and_refuses_repeats(spark):
+    import pytest
+
+    from embergrid.operators.attributes import set_attribute
+
+    table = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "id long, cpu int")
+    new = spark.createDataFrame([(0, None), (1, 7), (9, 9)], "id long, cpu int")
+    assert sorted(map(tuple, set_attribute(table, ["id"], "cpu", new).collect())) == [(0, None), (1, 7), (2, 3)]
+    with pytest.raises(Exception, match="repeated key"):
+        set_attribute(table, ["id"], "cpu", new.union(new)).collect()
+
+
+def test_centralities_by_blocks_of_sources(spark):
+    from embergrid.operators import graph as G
+
+    links = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 0), (3, 4), (4, 5)], "src long, dst long")
+    nodes = spark.range(6)
+    for f in (G.closeness_centrality, G.betweenness_centrality):
+        whole, parts = (dict(map(tuple, f(nodes, links, block=b).collect())) for b in (100, 2))
+        assert {k: round(v, 12) for k, v in whole.items()} == {k: round(v, 12) for k, v in parts.items()}
+    assert {k: round(v * 20, 9) for k, v in whole.items()} == {0: 3.0, 1: 1.0, 2: 3.0, 3: 13.0, 4: 8.0, 5: 0.0}

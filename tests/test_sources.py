@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from embergrid.functions import resources as R
 from embergrid.operators import attributes as P
-from embergrid.sources import config, files, generators
+from embergrid.sources import config, files, generators, topologies
 
 
 def test_csv(spark, tmp_path):
@@ -43,9 +43,10 @@ def test_gml(spark, tmp_path):
 def test_sndlib(spark, tmp_path):
     path = tmp_path / "t.xml"
     path.write_text('<network><nodes><node id="B"><coordinates><x>1</x><y>2</y></coordinates></node><node id="A"><coordinates><x>3</x><y>4</y></coordinates></node></nodes><links><link id="L"><source>A</source><target>B</target><preInstalledModule><capacity>5</capacity><cost>9</cost></preInstalledModule></link></links></network>')
-    _, links = files.read_sndlib(spark, str(path))
-    assert [tuple(r) for r in links.collect()] == [(0, 1, 5.0, 5.0)]
-    assert files.read_sndlib(spark, str(path), copy_capacity_as_cost=False)[1].first()["cost"] == 9.0
+    nodes, links = topologies.read_sndlib(spark, str(path))
+    assert [tuple(r) for r in nodes.select("id", "label").orderBy("id").collect()] == [(0, "B"), (1, "A")]  # file order
+    assert [tuple(r) for r in links.select("src", "dst", "capacity", "cost").collect()] == [(1, 0, 5.0, 5.0)]
+    assert topologies.read_sndlib(spark, str(path), copy_capacity_as_cost=False)[1].first()["cost"] == 9.0
 
 
 def test_config(tmp_path):
@@ -130,6 +131,8 @@ def test_links_change_by_tables(spark):
     added = {(r["eid"], r["src"], r["dst"]) for r in P.add_edges(links, new).collect()}
     assert added == {(0, 0, 1), (1, 1, 2), (2, 2, 3)}
     assert [tuple(r) for r in P.remove_edges(links, new).collect()] == [(0, 0, 1, 5)]
+    assert sorted(r["eid"] for r in P.add_edges(links.limit(1), new.limit(1)).collect()) == [0, 1]
+    assert [r["eid"] for r in P.add_edges(links.where("eid = 9"), new.limit(1)).collect()] == [0]
     kept, left = P.remove_nodes(nodes, links, nodes.where("id = 2"))
     assert kept.count() == 3 and [r["eid"] for r in left.collect()] == [0]
     assert P.add_nodes(nodes, spark.createDataFrame([(3,), (9,)], "id long")).count() == 5
