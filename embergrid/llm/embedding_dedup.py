@@ -131,7 +131,8 @@ def tiles(rows: DataFrame, bases: dict[int, np.ndarray], tile_bytes: int = TILE_
 
     label = rows.schema["label"].dataType.simpleString()
     schema = f"label {label}, d long, " + ", ".join(f"c{k} long" for k in range(CELL_DIMS)) + ", sub long, ids binary, weights binary, vectors binary, lo array<double>, hi array<double>"
-    found = dealt.select(*key, "id", "n", "x").groupBy(*key).applyInArrow(pack, schema)
+    # dealt by the tile, not by the cell alone, whose rows may be many
+    found = dealt.select(*key, "id", "n", "x").repartition(*key).groupBy(*key).applyInArrow(pack, schema)
     return found.withColumn("tile", F.concat_ws("/", *[F.col(c).cast("string") for c in key]))
 
 
