@@ -15,7 +15,10 @@ in all documents. Only DataFrame functions are used; one pass over the text, no
 * e-mail addresses: all but the top-level domain, in lower case; capitals are set anew in their
   places, so an address is linked whatever its case (A-Z).
 * secrets (``token = ...`` and the like, or 32 to 64 hexadecimal digits): every letter and digit
-  within its class.
+  within its class; hexadecimal digits of one case with letters among them within the sixteen of their case.
+
+Formats tell, not meanings: a valid date or address is replaced wherever it stands, in release notes or version
+numbers, too. Other numbers, such as IBANs, and names are not looked for.
 
 Digits permute among digits, lower-case among lower-case letters, capitals among capitals, by an
 alternating Feistel network whose round function is SHA-256 of key, round, other half and place.
@@ -23,7 +26,7 @@ Who has the key can undo the pseudonyms; it is a required argument. ``QUERY_KEY`
 registered queries and tests only.
 
 Defined results: a null text stays null with zero counts; empty and letterless texts stay as they
-are. Matches do not overlap; the leftmost wins, in the order email, secret, address, date, phone,
+are; whole texts are searched, however long. Matches do not overlap; the leftmost wins, in the order email, secret, address, date, phone,
 SSN, card. Extra columns stay; ``n_pii`` is added (a column of that name is replaced).
 """
 
@@ -46,6 +49,7 @@ PHONE = r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<!\d)\(\d{3
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
 PATTERN = "|".join(f"(?:{p})" for p in (EMAIL, NAMED_SECRET, HEX_SECRET, ADDRESS, DATE, PHONE, SSN, CARD))
+LOWER, UPPER = "0123456789abcdef", "0123456789ABCDEF"
 CYCLE = (189, 773)  # the factors of the 146,097 days of 400 years
 
 
@@ -54,12 +58,14 @@ def _hash(key: str, n: Column, *parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), n.cast("string"), *[p.cast("string") for p in parts]), 256), 1, 8), 16, 10).cast("long")
 
 
-def _shift(own: Column, other: Column, r: Column, key: str) -> Column:
-    """Each letter or digit of ``own`` moved within its class by a hash of the other half."""
+def _shift(own: Column, other: Column, r: Column, key: str, alphabet: str | None = None) -> Column:
+    """Each letter or digit of ``own`` moved within its class, or within ``alphabet``, by a hash of the other half."""
 
     def moved(i: Column) -> Column:
         char = F.substr(own, i, F.lit(1))
         code, h = F.ascii(char), _hash(key, r, other, i)
+        if alphabet:
+            return F.substr(F.lit(alphabet), (F.pmod(F.position(char, F.lit(alphabet)) - 1 + h, F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))
 
         def within(first: int, size: int) -> Column:
             return F.char(F.lit(first) + F.pmod(code - first + h, F.lit(size)))
@@ -69,13 +75,13 @@ def _shift(own: Column, other: Column, r: Column, key: str) -> Column:
     return F.when(F.length(own) == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(own)), moved), ""))
 
 
-def permute(s: Column, key: str) -> Column:
-    """A keyed permutation of the strings with the same classes of characters."""
+def permute(s: Column, key: str, alphabet: str | None = None) -> Column:
+    """A keyed permutation of the strings with the same classes of characters, or of those of ``alphabet``, of one length."""
     half = F.floor(F.length(s) / 2).cast("int")
     start = F.struct(F.substr(s, F.lit(1), half).alias("l"), F.substr(s, half + 1, F.length(s)).alias("r"))
 
     def turn(x: Column, i: Column) -> Column:
-        return F.when(i % 2 == 0, F.struct(_shift(x["l"], x["r"], i, key).alias("l"), x["r"].alias("r"))).otherwise(F.struct(x["l"].alias("l"), _shift(x["r"], x["l"], i, key).alias("r")))
+        return F.when(i % 2 == 0, F.struct(_shift(x["l"], x["r"], i, key, alphabet).alias("l"), x["r"].alias("r"))).otherwise(F.struct(x["l"].alias("l"), _shift(x["r"], x["l"], i, key, alphabet).alias("r")))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda x: F.concat(x["l"], x["r"]))
 
@@ -196,7 +202,13 @@ def pseudonym(m: Column, key: str) -> Column:
         return m.rlike(f"^(?:{pattern})$")
 
     head = F.when(m.rlike(r"[=:]"), F.regexp_extract(m, r"^.*?[=:]\s{0,3}[\"']?", 0)).otherwise("")
-    secret = let(head, lambda h: F.concat(h, permute(F.substr(m, F.length(h) + 1, F.length(m) - F.length(h)), key)))
+
+    def hidden(value: Column) -> Column:
+        """Digits alone stay digits, hexadecimal digits with letters stay such in their case, else each class stays."""
+        lower, upper = (value.rlike(f"^(?=.*[{c}])[0-9{c}]{{32,64}}$") for c in ("a-f", "A-F"))
+        return F.when(lower, permute(value, key, LOWER)).when(upper, permute(value, key, UPPER)).otherwise(permute(value, key))
+
+    secret = let(head, lambda h: F.concat(h, let(F.substr(m, F.length(h) + 1, F.length(m) - F.length(h)), hidden)))
     special = m.rlike("^[0-9][0-9./ -]*$")
     return (
         F.when(m.contains("@") & ~m.rlike("[=:]"), _email(m, key))
@@ -213,7 +225,7 @@ def pseudonym(m: Column, key: str) -> Column:
 def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``df`` with the personal data of ``text`` replaced and ``n_pii``, the number of replaced values."""
     t, old, new = F.col(text), free_name(df, "found"), free_name(df, "new")
-    found = F.when(t.rlike("[0-9@=:]"), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)))
+    found = F.when(t.rlike("[0-9@=:]|[a-f]{32}|[A-F]{32}"), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)))
     out = df.withColumn(old, found)
     out = out.withColumn(new, F.when(F.size(old) > 0, F.transform(old, lambda m: pseudonym(m, key))))
     parts = F.split(t, PATTERN, -1)

@@ -386,3 +386,28 @@ def test_decontamination_against_brute_force(spark):
     with pytest.raises(ValueError):
         decontaminate.matches(frame(spark, []).withColumn("distance", F.lit(1)), bench, ["distance"])
     assert decontaminate.matches(frame(spark, texts), spark.createDataFrame([], "item_id long, text string"), ["doc_id"]).count() == 0
+
+
+def test_permutations_by_format(spark):
+    """All strings of small formats: each format is mapped onto itself, one to one, and not as it is."""
+    from embergrid.llm import pii
+
+    for alphabet, own in ((None, ("0123456789", "0123456789", "0123456789")), (None, ("abcdefghijklmnopqrstuvwxyz", "0123456789")), (pii.LOWER, (pii.LOWER, pii.LOWER, "0123456789abcdef"[:16])), (pii.UPPER, (pii.UPPER, pii.UPPER))):
+        every = ["".join(x) for x in itertools.product(*own)]
+        got = [r[0] for r in spark.createDataFrame([(x,) for x in every], "s string").select(pii.permute(F.col("s"), "k", alphabet)).collect()]
+        assert sorted(got) == sorted(every) and sum(a == b for a, b in zip(got, every)) < len(every) / 8
+
+
+def test_hexadecimal_secrets_stay_hexadecimal(spark):
+    from embergrid.llm import pii
+
+    secrets = ["deadbeefdeadbeefdeadbeefdeadbeef", "d3adbeef" * 5, "D3ADBEEF" * 8, "ABCDEFABCDEFABCDEFABCDEFABCDEFABCDEF", "0123456789" * 4]
+    texts = [f"my {x}" for x in secrets] + [f"token={secrets[1]} and {secrets[1]}", "a" * 31, "z" * 40, "word " * 100_000 + secrets[0], "dead " * 40]
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "k").orderBy("doc_id").collect()
+    new = [r["text"].split()[-1] for r in rows]
+    for old, x in zip(secrets, new):
+        assert x != old and re.fullmatch("[0-9a-f]+" if old.lower() == old and not old.isdigit() else "[0-9A-F]+" if not old.isdigit() else "[0-9]+", x) and len(x) == len(old)
+    assert [r["n_pii"] for r in rows] == [1, 1, 1, 1, 1, 2, 0, 0, 1, 0]
+    assert new[8] == new[0] and rows[5]["text"] == f"token={new[1]} and {new[1]}"
+    again = pii.pseudonymise(spark.createDataFrame([(0, rows[0]["text"])], "doc_id int, text string"), "k").first()
+    assert again["n_pii"] == 1
