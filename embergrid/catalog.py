@@ -401,4 +401,4 @@ def simulate_windows(spark, d):
     return C.window_summary(S.online_runs(spark, sub, nested, runs, ["cpu"], ["bw"]), 0.0, 50.0)
 
 
-from . import catalog_paths, catalog_state  # noqa: E402, F401  their queries join this catalog
+from . import catalog_paths, catalog_sources, catalog_state  # noqa: E402, F401  their queries join this catalog
