@@ -7,7 +7,7 @@ from embergrid.llm import queries
 
 def test_names_and_oracles():
     numbers = [int(re.match(r"op(\d+)_", name)[1]) for name in queries.QUERIES]
-    assert numbers == list(range(1, 11)) and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+    assert numbers == list(range(1, 14)) and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "pii", "packing"]
 
 
